@@ -14,6 +14,7 @@ import hmac
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
@@ -45,9 +46,12 @@ _IDLABEL = r"(?:CCCD|CMND|CMTND|CMT|GPLX|BHXH|căn\s*cước(?:\s*công\s*dân)?
 ID = re.compile(rf"(?i)(?<!\p{{L}}){_IDLABEL}\s*(?:\(?(?:số|so|no\.?|number)\)?)?\s*[:.\-#]?\s*(?:là\s+)?((?:[A-Z]\s?\d{{7,8}}|\d{{3,4}}(?:[ .\-]?\d{{3,4}}){{2,3}}|\d{{8,12}}))(?!\d|[.\-]\d)")
 NOT_PERSONAL = re.compile(r"(?i)(?:mã\s*số\s*thuế|ma\s*so\s*thue|MST|tax\s*(?:code|id|number)|tổng\s*đài|tong\s*dai|hotline\s*1900|hợp\s*đồng|hop\s*dong|contract|lô\s*hàng|lo\s*hang|đơn\s*hàng|don\s*hang|order|mã\s*tin|ma\s*tin|mã\s*đơn|tài\s*khoản|STK|serial|tiêu\s*chuẩn)(?:\s+\p{Ll}+){0,3}\s*(?:số|so|no\.?)?\s*[:#]?\s*$")
 _W = r"\p{Lu}[\p{L}\p{M}]*"
-_TITLE = r"(?:anh|chị|chi|cô|co|bạn|ban|ông|ong|bà|ba|thầy|em|Mr\.?|Mrs\.?|Ms\.?|Miss|MR\.?|MS\.?|(?:(?<=^)|(?<=[.\n] ?)|(?<=[-•+*] ))(?:Anh|Chị|Cô|Bạn))"
-_CUE = r"(?:[Nn]gười\s+giới\s+thiệu|[Nn]guoi\s+gioi\s+thieu|đứng\s+tên|dung\s+ten|[Hh]ọ\s*(?:và\s*)?tên|[Hh]o\s*(?:va\s*)?ten|[Ứứ]ng\s+viên|[Uu]ng\s+vien|[Bb]ảo\s+lãnh\s+bởi|[Bb]ao\s+lanh\s+boi|[Nn]gười\s+phụ\s+trách(?:\s+hồ\s+sơ)?|[Nn]guoi\s+phu\s+trach(?:\s+ho\s+so)?|[Gg]ặp|[Gg]ap|HR|[Ll]iên\s+hệ|[Ll]ien\s+he|[Cc]ontact|[Aa]sk\s+for|[Cc]all|[Nn]hắn|[Nn]han|[Gg]ọi|[Tt]ên|[Nn]gười\s+liên\s+hệ|[Nn]ame|[Rr]eferred\s+by|[Hh]iring\s+manager|[Rr]ecruiter)"
-NAME = re.compile(rf"(?<!\p{{L}})(?:{_CUE}\s*:?\s*(?:{_TITLE}\s+)?|{_TITLE}\s+(?=\p{{Lu}}))({_W}(?:\s{_W}){{0,4}})(?!\p{{L}})")
+_TITLE = r"(?:anh|chị|chi|cô|co|bạn|ban|ông|ong|bà|ba|thầy|em|Mr\.?|Mrs\.?|Ms\.?|Miss|MR\.?|MS\.?)"
+#: Words after which a name stands, and forms of address.
+_CUES = """người giới thiệu|nguoi gioi thieu|đứng tên|dung ten|họ tên|họ và tên|ho ten|ho va ten|ứng viên|ung vien|bảo lãnh bởi|bao lanh boi|người phụ trách|nguoi phu trach|người phụ trách hồ sơ|nguoi phu trach ho so|gặp|gap|hr|liên hệ|lien he|contact|ask for|call|nhắn|nhan|gọi|tên|người liên hệ|name|referred by|hiring manager|recruiter""".split("|")
+_TITLES = "anh|chị|chi|cô|co|bạn|ban|ông|ong|bà|ba|thầy|em|mr|mr.|mrs|mrs.|ms|ms.|miss".split("|")
+_NAMED = re.compile(rf"\s*:?\s*(?:{_TITLE}\s+)?({_W}(?:\s{_W}){{0,4}})(?!\p{{L}})")
+_CALLED = re.compile(rf"\s+({_W}(?:\s{_W}){{0,4}})(?!\p{{L}})")
 #: Family names.
 FAMILY = "Nguyễn|Trần|Lê|Phạm|Hoàng|Huỳnh|Phan|Vũ|Võ|Đặng|Bùi|Đỗ|Hồ|Ngô|Dương|Lý|Đoàn|Trịnh|Đinh|Lương|Ninh|Cù|Vi|Khổng|Thân|Tô|Mai|Đào|Hà|Tạ|Tống|Chu|Cao|Quách|La|Thái|Lưu|Phùng|Vương|Trương|Ông|Kiều|Lâm|Tăng|Hứa|Từ|Nghiêm|Mạc|Triệu|Diệp".split("|")
 _FAMILY = "|".join(sorted({y for x in FAMILY for y in (x, x.upper(), x.translate(_FOLD), x.translate(_FOLD).upper())}, key=len, reverse=True))
@@ -67,6 +71,33 @@ _AFTER_HOME = re.compile(r"(?i)(?:thường\s*trú|thuong\s*tru|trú\s*tại|tru
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 
+def _triggers() -> ahocorasick.Automaton:
+    """Phrases of lower case, found in one pass, that tell which searches a text needs and where names may follow."""
+    found: dict[str, set[str]] = {}
+    for kind, words in (
+        ("email", ["@", "＠", "còng", "a cong", "(at)", "[at]", "{at}", " dot ", " chấm ", " cham "]),
+        ("url", ["://", "www."]),
+        ("id", "cccd|cmnd|cmt|căn cước|can cuoc|chứng minh|chung minh|định danh|dinh danh|hộ chiếu|ho chieu|passport|giấy tờ|giay to|bhxh|bảo hiểm xã hội|id card|id number|id no|identity|gplx".split("|")),
+        ("spelled", [f"{z} {w}" for z in ("không", "khong", "zero", "tám", "bốn") for w in _NUMERALS]),
+        ("cue", _CUES),
+        ("title", _TITLES),
+        ("home", "thường trú|thuong tru|trú tại|tru tai|tại|ở|ở gần|địa chỉ|room is at|mới".split("|")),
+    ):
+        for w in words:
+            found.setdefault(w, set()).add(kind)
+    a = ahocorasick.Automaton()
+    for w, kinds in found.items():
+        a.add_word(w, (len(w), frozenset(kinds)))
+    a.make_automaton()
+    return a
+
+
+_NUMERALS = "không một mốt hai ba bốn tư năm lăm sáu bảy bẩy tám chín khong mot bon nam sau bay tam chin one two three four five six seven eight nine zero".split()
+_TRIGGERS = _triggers()
+_HOME_GAP = re.compile(r"(?i)\s*:?\s*(?:(?:số|so)\s*(?:nhà|nha)?|no\.?)?\s*(?=\d)")
+_SENTENCE = re.compile(r"(?:^|[.!?\n•+*\-]|<br>)\s*$")
+
+
 def find_personal(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of each personal datum in reading order, without overlaps.
 
@@ -76,9 +107,18 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
     """
     if not text:
         return []
-    whole = unicodedata.normalize("NFC", text)
-    if whole != text:
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
         return _placed_back(text)
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    needs: set[str] = set()
+    after: list[tuple[int, int, frozenset]] = []
+    for end, (size, kinds) in _TRIGGERS.iter(low):
+        needs |= kinds
+        start, end = end + 1 - size, end + 1
+        if kinds & {"cue", "title", "home"} and not low[start - 1 : start].isalpha() and not low[end : end + 1].isalpha():
+            after.append((start, end, kinds))
     found: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
 
@@ -88,17 +128,21 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
             if kind:
                 found.append((a, b, kind))
 
-    for m in EMAIL.finditer(text):
-        take(*m.span(), "email")
-    for m in URL.finditer(text):
-        take(*m.span(), "")
-    for m in ID.finditer(text):
-        take(*m.span(1), "id_number")
-    clear = "".join("\x00" if t else c for c, t in zip(text, taken))  # an address doesn't run across other data
+    if "email" in needs or " at " in low:
+        for m in EMAIL.finditer(text):
+            take(*m.span(), "email")
+    if "url" in needs:
+        for m in URL.finditer(text):
+            take(*m.span(), "")
+    if "id" in needs:
+        for m in ID.finditer(text):
+            take(*m.span(1), "id_number")
+    # an address doesn't run across other data
+    clear = "".join("\x00" if t else c for c, t in zip(text, taken)) if any(taken) else text
     for m in ADDRESS.finditer(clear):
         take(*m.span(), "address")
-    for m in ADDRESS_ANY.finditer(clear):
-        if _AFTER_HOME.search(text[max(0, m.start() - 40) : m.start()]):
+    for start, end, kinds in after:
+        if "home" in kinds and (gap := _HOME_GAP.match(clear, end)) and (m := ADDRESS_ANY.match(clear, gap.end())):
             take(*m.span(), "address")
     for m in PHONE.finditer(text):
         digits = re.sub(r"\D", "", m.group().replace("O", "0").replace("o", "0"))
@@ -106,21 +150,33 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
         local = "0" + local[2:] if local.startswith("00") else local
         if 10 <= len(local) <= 11 and not NOT_PERSONAL.search(text[max(0, m.start() - 50) : m.start()]):
             take(*m.span(), "phone")
-    for m in SPELLED.finditer(text):
-        take(*m.span(), "phone")
-    for m in NAME.finditer(text):
+    if "spelled" in needs:
+        for m in SPELLED.finditer(text):
+            take(*m.span(), "phone")
+    for start, end, kinds in after:
+        cue = "cue" in kinds
+        if not cue and "title" not in kinds:
+            continue
+        word = low[start:end].rstrip(".")
+        if not cue and text[start].isupper() and word not in ("mr", "mrs", "ms", "miss"):
+            # a capital letter makes a form of address only where a sentence begins, and "Ông", "Bà" are names or places too
+            if word not in ("anh", "chị", "cô", "bạn") or not _SENTENCE.search(text[max(0, start - 4) : start]):
+                continue
+        m = (_NAMED if cue else _CALLED).match(text, end)
+        if not m or (cue and m.start(1) == end):
+            continue
         a, b = m.span(1)
-        first = text[a:b].split()[0]
-        if not _NOT_NAME.match(first) and not (_PLACES.match(text, a) and _PLACES.match(text, a).end() >= b) and not text[:a].endswith(('Bà ', 'Ba ')) and not re.match(r"\s*(?:['’&]|\d)", text[b:]):
+        place = _PLACES.match(text, a)
+        if not _NOT_NAME.match(text[a:b].split()[0]) and not (place and place.end() >= b) and not _FOLLOWED.match(text, b):
             take(a, b, "name")
-    for m in _PLACES.finditer(text):
-        take(*m.span(), "")
     for m in FULL_NAME.finditer(text):
-        if not _FIRM.search(text[max(0, m.start() - 30) : m.start()]) and not re.match(r"\s*(?:['’&]|\d)", text[m.end() :]):
+        inside = any(x.start() <= m.start() < x.end() for x in _PLACES.finditer(text, max(0, m.start() - 20), m.end()))
+        if not inside and not _FIRM.search(text[max(0, m.start() - 30) : m.start()]) and not _FOLLOWED.match(text, m.end()):
             take(*m.span(), "name")
     return sorted(found)
 
 
+_FOLLOWED = re.compile(r"\s*(?:['’&]|\d)")
 _CLUSTER = re.compile(r"\P{M}\p{M}*|\p{M}+")
 
 
