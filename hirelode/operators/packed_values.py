@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import evaluated
+
 OPEN, CLOSE, CUT = "\ue000", "\ue001", "\ue002"
 #: The three marks above, where a cell itself has them, are spans too: so no cell can collide with a placeholder.
 _MARKS = f"[{OPEN}{CLOSE}{CUT}]"
@@ -58,26 +60,23 @@ def split_packed(df: DataFrame, cell: str, field: str, slash_fields: Sequence[st
         inner = F.regexp_replace(F.regexp_replace(span.substr(F.lit(2), F.length(span) - 2), '""', '"'), r"\\(.)", "$1")
         return _trim(F.when(quoted, inner).otherwise(span))
 
-    base = df.withColumn("_c", _trim(F.col(cell))).where((F.col("_c") != "") & (F.lower("_c") != "nan"))
-    base = base.withColumn("_l", is_list)
-    base = base.withColumn("_spans", F.when(F.col("_l"), spans(SPAN_LIST)).otherwise(spans(SPAN)))
-    base = base.withColumn("_m", F.when(F.col("_l"), marked(SPAN_LIST)).otherwise(marked(SPAN)))
-    base = base.withColumn("_m", F.when(F.col("_l"), F.expr("substring(_m, 2, length(_m) - 2)")).otherwise(F.col("_m")))
-    base = base.withColumn("_m", F.regexp_replace("_m", DELIMITER, CUT))
-    base = base.withColumn(
-        "_m",
-        F.when(F.col(field).isin(*joined_fields), F.regexp_replace("_m", JOINER, CUT)).otherwise(F.col("_m")),
-    )
-    base = base.withColumn("_m", F.when(F.col(field).isin(*slash_fields), F.regexp_replace("_m", "/", CUT)).otherwise(F.col("_m")))
-    base = base.withColumn("_p", F.transform(F.split("_m", CUT, -1), value))
+    base = evaluated(df.where(F.col(cell).isNotNull()), {"_c": _trim(F.col(cell))}).where((F.col("_c") != "") & (F.lower("_c") != "nan"))
+    base = evaluated(base, {"_l": is_list, "_spans": F.when(is_list, spans(SPAN_LIST)).otherwise(spans(SPAN))})
+    base = evaluated(base, {"_m": F.when(F.col("_l"), marked(SPAN_LIST)).otherwise(marked(SPAN))})
+    bare = F.when(F.col("_l"), F.expr("substring(_m, 2, length(_m) - 2)")).otherwise(F.col("_m"))
+    base = evaluated(base, {"_m": F.regexp_replace(bare, DELIMITER, CUT)})
+    joined = F.when(F.col(field).isin(*joined_fields), F.regexp_replace("_m", JOINER, CUT)).otherwise(F.col("_m"))
+    base = evaluated(base, {"_m": F.when(F.col(field).isin(*slash_fields), F.regexp_replace(joined, "/", CUT)).otherwise(joined)})
+    base = evaluated(base, {"_p": F.transform(F.split("_m", CUT, -1), value)})
     values = F.expr(
         "transform(_p, p -> named_struct("
         f"'whole', p rlike '^{OPEN}[0-9]+{CLOSE}$', "
         f"'text', array_join(zip_with(split(p, '{OPEN}[0-9]+{CLOSE}', -1), regexp_extract_all(p, '{OPEN}([0-9]+){CLOSE}', 1), "
         "(a, i) -> concat(a, coalesce(element_at(_spans, cast(i as int) + 1), ''))), '')))"
     )
-    base = base.withColumn("_v", F.transform(values, lambda v: F.when(v["whole"], unwrap(v["text"])).otherwise(v["text"])))
-    base = base.withColumn("_v", F.filter("_v", lambda v: v != ""))
+    base = evaluated(base, {"_t": values})
+    shown = F.transform("_t", lambda v: F.when(v["whole"], unwrap(v["text"])).otherwise(v["text"]))
+    base = base.withColumn("_v", F.filter(shown, lambda v: v != ""))
     return base.select(*keep, F.posexplode("_v").alias("_pos", "value_text")).select(
         *keep, (F.col("_pos") + 1).cast("int").alias("pos_no"), "value_text"
     )

@@ -84,7 +84,7 @@ def pay_candidates(jobs: DataFrame, units: DataFrame) -> DataFrame:
     def amount(i: int) -> tuple[Column, Column]:
         at = lambda k: F.get(F.col(k), F.lit(i))
         unit = _named(F.when(at("u") != "", at("u")), {m: MONEY[m] for m in ("tỷ VND", "triệu VND", "nghìn VND")})
-        value = _number(at("n"), (unit == "tỷ VND") | (F.col("foreign").isNotNull() & (F.coalesce(unit, F.lit("")) == "nghìn VND")))
+        value = _number(at("n"), (F.coalesce(unit, F.lit("")) == "tỷ VND") | (F.col("foreign").isNotNull() & (F.coalesce(unit, F.lit("")) == "nghìn VND")))
         return value + F.coalesce(F.when(at("h") != "", at("h").cast("double") / 10), F.lit(0.0)) + F.when(at("r") != "", 0.5).otherwise(0.0), unit
 
     (v1, u1), (v2, u2) = amount(0), amount(1)

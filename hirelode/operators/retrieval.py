@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import CONFIG, MatchConfig
+from ..sources.tables import written
 
 TERM = r"([\p{L}\p{N}]+)"
 
@@ -35,6 +36,11 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.groupBy("field", "doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def built_index(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The postings as a stored table: the documents are read and parted into terms once, whatever is asked of the index later."""
+    return written(postings(docs, key, fields), "postings")
+
+
 def query_terms(queries: DataFrame, key: str, text: str, cfg: MatchConfig = CONFIG) -> DataFrame:
     """``query, term, n_terms``: the distinct terms of a query's first words (terms of no document count)."""
     words = F.slice(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+"), 1, cfg.query_words)
@@ -49,9 +55,9 @@ def bm25(index: DataFrame, terms: DataFrame, msm: float, cfg: MatchConfig = CONF
     """
     per_doc = index.select("field", "doc", "dl").distinct()
     stats = per_doc.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row a field
-    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
-    wanted = terms.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi").join(df.join(wanted, "term", "left_semi"), ["field", "term"]).join(F.broadcast(stats), "field").join(terms, "term")
+    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("field", "term").agg(F.count("*").alias("df"))
+    hits = asked.join(df, ["field", "term"]).join(F.broadcast(stats), "field").join(terms, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
     out = hits.groupBy("query", "doc", "field").agg(F.sum(idf * F.col("tf") / norm).alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
@@ -74,7 +80,7 @@ def top_k(scores: DataFrame, k: int, by: str = "query", item: str = "doc", place
 def search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, qtext: str, boosts: Mapping[str, float], msm: float, k: int, keep: DataFrame | None = None, cfg: MatchConfig = CONFIG) -> DataFrame:
     """``query, doc, score, rank`` by the best boosted field.  ``keep`` (``query, doc`` or ``doc``): the documents that may be ranked."""
     fields = [f for f in boosts if f in docs.columns]
-    scores = best_fields(bm25(postings(docs, key, fields), query_terms(queries, qkey, qtext, cfg), msm, cfg), boosts)
+    scores = best_fields(bm25(built_index(docs, key, fields), query_terms(queries, qkey, qtext, cfg), msm, cfg), boosts)
     if keep is not None:
         scores = scores.join(keep, [c for c in ("query", "doc") if c in keep.columns], "left_semi")
     return top_k(scores, k)
@@ -99,7 +105,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = Fals
     search).
     """
     good = lambda d: d.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null)")
-    q, c = _blocks(good(queries), 256, ("q_ids", "q_vecs", "q_tags")), _blocks(good(corpus), 4096, ("c_ids", "c_vecs", "c_tags"))
+    q, c = _blocks(good(queries), 256, ("q_ids", "q_vecs", "q_tags")), _blocks(good(corpus), 1024, ("c_ids", "c_vecs", "c_tags"))
     met = c.crossJoin(q)  # a stated query set against all rows, in blocks
 
     def unit(rows: list) -> np.ndarray:

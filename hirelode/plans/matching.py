@@ -70,13 +70,13 @@ def tokenize_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    idx = r.postings(_jobs(s, d), "job_id", ["technical_skills"])
+    idx = r.built_index(_jobs(s, d), "job_id", ["technical_skills"])
     per = r.bm25(idx, r.query_terms(_cvs(s, d), "cv_id", "skills"), 0.0)
     return r.top_k(per, 10).select("query", "doc", "score", "rank")
 
 
 def bm25_msm(s: SparkSession, d: str) -> DataFrame:
-    idx = r.postings(_jobs(s, d), "job_id", ["technical_skills", "job_requirements"])
+    idx = r.built_index(_jobs(s, d), "job_id", ["technical_skills", "job_requirements"])
     per = r.bm25(idx, r.query_terms(_cvs(s, d), "cv_id", "skills"), CONFIG.msm)
     return per.groupBy("field", "matched").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best"))
 

@@ -9,9 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows are dear to work on.
+TEXT_TABLES = frozenset({"jobs", "documents", "geocode_cache"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``sf_dir`` (a file or a folder of parts)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table ``name`` below ``sf_dir`` (a file or a folder of parts).
+
+    A table of texts that lies in fewer splits than half the cores is dealt out
+    over the cores; one of ordinary size has splits enough and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() * 2 <= cores:
+            return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
