@@ -193,13 +193,21 @@ def slips(words: DataFrame, ratio: int = 15) -> DataFrame:
 
 
 def corrected(rows: DataFrame, column: str) -> DataFrame:
-    """``column, right_form, odd_words`` of each distinct string of ``column``: with slips put right word by word, and the words that were slips."""
-    words = rows.select(F.explode(F.split(column, " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    fixed = slips(words)
-    each = rows.select(column).distinct().select(column, F.posexplode(F.split(column, " ")).alias("at", "word")).join(fixed, "word", "left")
-    # the words of one string
-    parts = each.groupBy(column).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("ws"), F.collect_set(F.when(F.col("right").isNotNull(), F.col("word"))).alias("odd_words"))
-    return parts.select(column, F.array_join(F.col("ws.w"), " ").alias("right_form"), "odd_words")
+    """``column, plain, right_form, odd_words`` of each distinct string of ``column``: with slips put right word by word, and the words that were slips.
+
+    What is written without accents is held against all words without theirs.
+    """
+    out = None
+    for plain in (False, True):
+        word = F.translate("word", ACCENTED, BASE) if plain else F.col("word")
+        counted = rows if plain else rows.where(~F.col("plain"))
+        words = counted.select(F.explode(F.split(column, " ")).alias("word")).where("word <> ''").groupBy(word.alias("word")).agg(F.count("*").alias("n"))
+        each = rows.where(F.col("plain") == plain).select(column).distinct().select(column, F.posexplode(F.split(column, " ")).alias("at", "word")).join(slips(words), "word", "left")
+        # the words of one string
+        parts = each.groupBy(column).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("ws"), F.collect_set(F.when(F.col("right").isNotNull(), F.col("word"))).alias("odd_words"))
+        part = parts.select(column, F.lit(plain).alias("plain"), F.array_join(F.col("ws.w"), " ").alias("right_form"), "odd_words")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +249,8 @@ def same_houses(cache: DataFrame, key: str, address: str) -> tuple[DataFrame, Da
     rows = cut(rows.where("house <> '' and street <> ''").dropDuplicates(["id"]))
     folded = lambda c: F.translate(c, ACCENTED, BASE)
     # districts: slips corrected, then the city most rows state for it
-    fixed = corrected(rows.where("district <> ''"), "district").select("district", "right_form")
-    rows = rows.join(fixed, "district", "left").withColumn("district", F.coalesce("right_form", "district")).drop("right_form")
+    fixed = corrected(rows.where("district <> ''"), "district").select("district", "plain", "right_form")
+    rows = rows.join(fixed, ["district", "plain"], "left").withColumn("district", F.coalesce("right_form", "district")).drop("right_form")
     rows = cut(rows)
     sure = rows.where("city_edits <= 2 and district <> ''")
     by_name = sure.groupBy("district", "city").count().groupBy("district").agg(F.max_by("city", F.struct("count", "city")).alias("home"))
@@ -256,7 +264,7 @@ def same_houses(cache: DataFrame, key: str, address: str) -> tuple[DataFrame, Da
     rows = rows.join(only, ["house", "sf"], "left").withColumn("city", F.coalesce("city", "only_city")).where("city is not null")
     rows = cut(rows.select("id", "city", "house", "street", "sf", "plain"))
     classes = rows.groupBy("city", "house", "street", "sf", "plain").agg(F.min("id").alias("class_id"))
-    classes = cut(classes.join(corrected(rows, "street"), "street"))
+    classes = cut(classes.join(corrected(rows, "street"), ["street", "plain"]))
     members = rows.join(classes.select("city", "house", "street", "plain", "class_id"), ["city", "house", "street", "plain"]).select("id", "class_id")
     spread = classes.select("city", "house", "class_id", "street", "right_form", "plain", "odd_words", F.explode(F.array_union(_keys(F.col("sf")), F.array(folded("right_form")))).alias("k"))
     left = spread.select("city", "house", "k", F.col("class_id").alias("a"), F.col("street").alias("sa"), F.col("right_form").alias("ra"), F.col("plain").alias("pa"), F.col("odd_words").alias("odd_a"))

@@ -39,7 +39,7 @@ EMAIL = re.compile(
 )
 URL = re.compile(r"(?i)\b(?:https?://|www\.)\S+")
 _DIGIT = r"[0-9OoQ]"
-PHONE = re.compile(rf"(?<![\w/.,\-+(]|\d\s)(?:\(\s*\+?84\s*\)|\+?\(?84\)?|0084|\(0\d{{1,3}}\)|[0O])(?:{_SEP}{{0,2}}(?:\(0\))?[0-9]|(?<=[0-9]){_SEP}?[Oo](?=[0-9 .\-])){{7,11}}(?![\w]|{_SEP}?\d)")
+PHONE = re.compile(rf"(?<![\w/.,\-+]|\d\s)(?:\(\s*\+?84\s*\)|\+?84|0084|\(0\d{{1,3}}\)|[0O])(?:{_SEP}{{0,2}}(?:\(0\))?[0-9]|(?<=[0-9]){_SEP}?[Oo](?=[0-9 .\-])){{7,11}}(?![\w]|{_SEP}?\d)")
 _NUMERAL = r"(?:không|khong|một|mot|mốt|hai|ba|bốn|bon|tư|năm|nam|lăm|sáu|sau|bảy|bay|bẩy|tám|tam|chín|chin|zero|one|two|three|four|five|six|seven|eight|nine)"
 SPELLED = re.compile(rf"(?i)(?<!\p{{L}})(?:không|khong|zero|cộng tám bốn)(?:[\s,.\-]+{_NUMERAL}){{8,10}}(?!\p{{L}})")
 _IDLABEL = r"(?:CCCD|CMND|CMTND|CMT|GPLX|BHXH|căn\s*cước(?:\s*công\s*dân)?|can\s*cuoc(?:\s*cong\s*dan)?|chứng\s*minh(?:\s*(?:nhân\s*dân|thư))?|chung\s*minh(?:\s*(?:nhan\s*dan|thu))?|(?:số|so)\s*(?:định|dinh)\s*danh(?:\s*(?:cá\s*nhân|ca\s*nhan))?|định\s*danh\s*cá\s*nhân|hộ\s*chiếu|ho\s*chieu|passport|ID\s*(?:card|number|no\.?)|identity\s*(?:card|number)|(?:mã|ma|sổ|so)\s*(?:số\s*)?(?:BHXH|bảo\s*hiểm\s*xã\s*hội)|(?:số|so)\s*(?:giấy\s*tờ|giay\s*to))"
@@ -171,7 +171,8 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
             take(a, b, "name")
     for m in FULL_NAME.finditer(text):
         inside = any(x.start() <= m.start() < x.end() for x in _PLACES.finditer(text, max(0, m.start() - 20), m.end()))
-        if not inside and not _FIRM.search(text[max(0, m.start() - 30) : m.start()]) and not _FOLLOWED.match(text, m.end()):
+        cases = {w.isupper() for w in m.group().split()}  # a name is in one case throughout
+        if len(cases) == 1 and not inside and not _FIRM.search(text[max(0, m.start() - 30) : m.start()]) and not _FOLLOWED.match(text, m.end()):
             take(*m.span(), "name")
     return sorted(found)
 
