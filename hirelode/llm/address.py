@@ -27,7 +27,7 @@ _FOLD = str.maketrans(ACCENTED + ACCENTED.upper(), BASE + BASE.upper())
 #: Fixed values (public geography): names of provinces and cities, folded.
 CITIES = """ha noi|hai phong|quang ninh|bac ninh|hai duong|hung yen|vinh phuc|thai nguyen|bac giang|nam dinh|thai binh|ha nam|ninh binh|phu tho|hoa binh|lao cai|yen bai|lang son|tuyen quang|son la|dien bien|cao bang|ha giang|bac kan|lai chau|da nang|thanh hoa|nghe an|ha tinh|quang binh|quang tri|thua thien hue|quang nam|quang ngai|binh dinh|phu yen|khanh hoa|ninh thuan|binh thuan|kon tum|gia lai|dak lak|dak nong|lam dong|ho chi minh|binh duong|dong nai|ba ria vung tau|tay ninh|binh phuoc|long an|tien giang|ben tre|tra vinh|vinh long|dong thap|an giang|kien giang|can tho|hau giang|soc trang|bac lieu|ca mau""".split("|")
 #: Other ways of writing a city.
-CITY_NAMES = {c: c for c in CITIES} | {c.replace(" ", ""): c for c in CITIES} | {"hcm": "ho chi minh", "hcmc": "ho chi minh", "tphcm": "ho chi minh", "sai gon": "ho chi minh", "saigon": "ho chi minh", "hn": "ha noi", "hue": "thua thien hue", "vung tau": "ba ria vung tau", "ba ria": "ba ria vung tau", "dac lac": "dak lak"}
+CITY_NAMES = {c: c for c in CITIES} | {c.replace(" ", ""): c for c in CITIES} | {"hcm": "ho chi minh", "hcmc": "ho chi minh", "tphcm": "ho chi minh", "sai gon": "ho chi minh", "saigon": "ho chi minh", "hn": "ha noi", "brvt": "ba ria vung tau", "br vt": "ba ria vung tau", "hue": "thua thien hue", "vung tau": "ba ria vung tau", "ba ria": "ba ria vung tau", "dac lac": "dak lak"}
 _COUNTRY = {"viet nam", "vietnam", "vn"}
 _HOUSE = r"\d+[a-z]?(?:/\d+[a-z]?)*(?![\w/])"
 _NUMBER_WORD = r"(?:(?:nha\s+)?so(?:\s+nha)?|sn|no|number|nha)\s*\.?\s*"

@@ -155,7 +155,7 @@ def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame, initials: bool) ->
     if initials:
         one = t.where((F.length("token") == 1) & F.col("token").rlike(r"^\p{L}$"))
         first = v.where(F.length("ref_token") > 1).withColumn("token", F.substring("ref_token", 1, 1))
-        out = out.unionByName(one.join(first, "token").select("token", "ref_token", F.lit(0.7).alias("sim")))
+        out = out.unionByName(one.join(first, "token").select("token", "ref_token", F.lit(0.69).alias("sim")))
     single = v.where(F.length("ref_token") == 1).join(t, F.col("token") == F.col("ref_token")).select("token", "ref_token", F.lit(1.0).alias("sim"))
     return out.unionByName(single).groupBy("token", "ref_token").agg(F.max("sim").alias("sim"))
 
@@ -186,7 +186,7 @@ def map_values(cells: DataFrame, value: str, entries: DataFrame, entry_id: str,
     per = per.join(F.broadcast(weights), ["entry_no", "form"])
     per = per.withColumn("score", F.round(F.col("got") / F.col("all_weight") - F.when(F.col("form") == 1, 0.02).otherwise(0.0), 6))
     per = per.where(F.col("m") == F.col("n"))
-    per = per.where((F.col("best_sim") > 0.7) & ((F.col("letters") > 3) | (F.col("score") >= 0.97)))
+    per = per.where((F.col("best_sim") > 0.695) & ((F.col("letters") > 3) | (F.col("score") >= 0.97)))
     per = per.withColumn("score", F.when(F.col("is_alias") & (F.col("score") < 0.95), F.col("score") - 0.15).otherwise(F.col("score"))).where(F.col("score") >= known.threshold)
     # exactness first, then how much text the phrase explains
     rank = F.struct(
