@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
@@ -57,7 +58,7 @@ FAMILY = "Nguyễn|Trần|Lê|Phạm|Hoàng|Huỳnh|Phan|Vũ|Võ|Đặng|Bùi|Đ
 _FAMILY = "|".join(sorted({y for x in FAMILY for y in (x, x.upper(), x.translate(_FOLD), x.translate(_FOLD).upper())}, key=len, reverse=True))
 FULL_NAME = re.compile(rf"(?<!\p{{L}})(?:{_FAMILY})(?:\s{_W}){{1,4}}(?!\p{{L}})")
 _PLACES = re.compile(rf"(?<!\p{{L}})(?:{_PLACE})(?!\p{{L}})")
-_FIRM = re.compile(r"(?i)(?:công ty|cong ty|tập đoàn|tap doan|kinh doanh|dự án|du an|nhãn hàng|nhan hang|chi nhánh|chi nhanh|thương hiệu|hệ thống|sản phẩm|đường|phố|phường|quận|huyện|street|tòa nhà|toà nhà|TNHH|cổ phần|MTV|một thành viên)\s*:?\s*$")
+_FIRM = re.compile(r"(?i)(?:công ty|cong ty|tập đoàn|tap doan|kinh doanh|dự án|du an|nhãn hàng|nhan hang|chi nhánh|chi nhanh|thương hiệu|hệ thống|sản phẩm|chợ|gan cho|cầu|bến|công viên|trường|bệnh viện|siêu thị|ngã tư|ngã ba|đường|phố|phường|quận|huyện|street|tòa nhà|toà nhà|TNHH|cổ phần|MTV|một thành viên)\s*:?\s*$")
 _NOT_NAME = re.compile(r"(?i)^(?:công ty|phòng|ban|bộ phận|hr|zalo|email|mail|sđt|đt|cv|khi|qua|theo|tại|số|the|our|us|hotline|hành chính|nhân sự)$")
 _HOUSE = r"\d{1,4}(?:bis|ter|[A-Za-z](?!\p{L}))?(?:/\d{1,4}[A-Za-z]?)*"
 _PIECE = r"[\p{L}\p{M}\d. /]{1,40}?"
@@ -318,8 +319,15 @@ def surrogates(found: DataFrame, secret: str, rounds: int = 6) -> DataFrame:
     a lesser one, or is itself a datum found, draws again, up to ``rounds``
     times; then its order number is added.
     """
-    canon = F.udf(canonical, "string")
-    drawn = F.udf(lambda k, v, a: surrogate(secret, k, v, a), "string")
+
+    @F.pandas_udf("string")
+    def canon(kind: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([canonical(k, v) for k, v in zip(kind, value)], dtype=object)
+
+    @F.pandas_udf("string")
+    def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(secret, k, v, int(a)) for k, v, a in zip(kind, value, attempt)], dtype=object)
+
     values = found.select("kind", "value_text").distinct().withColumn("canon", canon("kind", "value_text"))
     values = cut(values)
     data = values.groupBy("kind", "canon").agg(F.min("value_text").alias("sample")).withColumn("attempt", F.lit(0))

@@ -16,7 +16,7 @@ def test_kinds():
 
 
 def test_what_does_not_count():
-    for t in ("Mã số thuế doanh nghiệp 0433375321.", "Tổng đài 1900 1258 hoạt động 24/7.", "https://x.example/tin/0912345678", "Hợp đồng mẫu số 355/2026/HĐLĐ-40901.", "Đại diện ở Bà Rịa - Vũng Tàu", "Ứng viên chưa biết HTML5", "Làm tại quận 1, Hà Nội", "Lô hàng số 86422677 giao đợt 23.", "", None):
+    for t in ("Mã số thuế doanh nghiệp 0433375321.", "Tổng đài 1900 1258 hoạt động 24/7.", "https://x.example/tin/0912345678", "Hợp đồng mẫu số 355/2026/HĐLĐ-40901.", "Đại diện ở Bà Rịa - Vũng Tàu", "Ứng viên chưa biết HTML5", "Làm tại quận 1, Hà Nội", "Chi nhánh X gần chợ Dương Xỉ.", "Sơn La RỒI", "Lưu TRỮ hồ sơ", "Lô hàng số 86422677 giao đợt 23.", "", None):
         assert find_personal(t) == []
 
 
