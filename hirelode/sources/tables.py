@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shipped(spark: SparkSession) -> None:
+    """This package sent to the workers, once per context: they need not find it by themselves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hirelode_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(package):  # else it was itself loaded from a shipped archive
+        folder = tempfile.mkdtemp(prefix="hirelode-package-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "hirelode-package"), "zip", os.path.dirname(package), os.path.basename(package)))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc._hirelode_shipped = True
+
+
 #: Tables whose rows are dear to work on.
 TEXT_TABLES = frozenset({"jobs", "documents", "geocode_cache"})
 
@@ -19,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     A table of texts that lies in fewer splits than half the cores is dealt out
     over the cores; one of ordinary size has splits enough and is read as it is.
     """
+    shipped(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in TEXT_TABLES:
         cores = spark.sparkContext.defaultParallelism
@@ -33,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset (tests, a single machine) a temporary folder is
     made and set, once per session.
     """
+    shipped(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
