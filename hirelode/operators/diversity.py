@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..sources.tables import cut, written
 
 
-def diverse(df: DataFrame, group: str, key: str, words: str, target: int, pool: int = 2000) -> DataFrame:
+def diverse(df: DataFrame, group: str, key: str, words: str, target: int) -> DataFrame:
     """``group, key, place``: up to ``target`` records per group, starting with the least key.
 
-    The choice is sequential by nature, so a group's candidates must fit one
-    task: they are its ``pool`` records with the most words, ties to the lower
-    key (a documented bound of this sampling operator).  A running least
-    distance makes each step linear.
+    The choice is sequential by nature, so it takes a round per place; within a
+    round all records keep their least distance to those taken, and the farthest
+    of each group, ties to the lower key, is sent to every task (a row a group).
     """
-    w = W.partitionBy(group).orderBy(F.desc(F.size(words)), key)
-    cand = df.where(F.col(group).isNotNull()).select(group, key, words).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pool).drop("_n")
-
-    def pick(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(key, kind="stable").reset_index(drop=True)
-        sets = [frozenset(x) for x in f[words]]
-        taken, far = [], [2.0] * len(sets)
-        at = 0
-        while True:
-            taken.append(at)
-            far[at] = -1.0
-            if len(taken) == min(target, len(sets)):
-                break
-            for i, d in enumerate(far):
-                if d >= 0:
-                    union = len(sets[i] | sets[at])
-                    far[i] = min(d, 1 - len(sets[i] & sets[at]) / union if union else 0.0)
-            at = max(range(len(far)), key=lambda i: (far[i], -i))
-        return pd.DataFrame({group: f[group].iloc[taken].to_numpy(), key: f[key].iloc[taken].to_numpy(), "place": range(1, len(taken) + 1)})
-
-    kinds = dict(df.dtypes)
-    return cand.groupBy(group).applyInPandas(pick, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, place int")
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_distinct(F.coalesce(words, F.array().cast(dict(df.dtypes)[words]))).alias("w"))
+    rest = written(rows.withColumn("n", F.monotonically_increasing_id()), "spread").withColumn("far", F.lit(2.0))
+    taken: list[DataFrame] = []
+    for place in range(1, target + 1):
+        least = F.min(F.struct((-F.col("far")).alias("near"), F.col("k").isNull().alias("none"), "k", "n", "w")).alias("p")
+        pick = cut(rest.groupBy("g").agg(least).select("g", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("p.w").alias("pw")))
+        taken.append(pick.select(F.col("g").alias(group), F.col("pk").alias(key), F.lit(place).alias("place")))
+        if place == target or pick.isEmpty():
+            break
+        common = F.size(F.array_intersect("w", "pw"))
+        union = F.size("w") + F.size("pw") - common
+        left = rest.join(F.broadcast(pick), "g").where("n <> pn")
+        rest = written(left.select("g", "k", "w", "n", F.least("far", F.when(union > 0, 1 - common / union).otherwise(F.lit(0.0))).alias("far")), "spread")
+    return reduce(DataFrame.unionByName, taken)

@@ -84,6 +84,12 @@ def test_diversity(spark):
     assert [r.k for r in diversity.diverse(df, "g", "k", "w", 2).orderBy("place").collect()] == [1, 3]
 
 
+def test_diversity_among_all_records(spark):
+    rows = [("g", i, ["a", "b", f"w{i}"]) for i in range(2, 2005)] + [("g", 1, ["a"]), ("g", 3000, ["z"]), ("h", 7, []), ("h", 8, []), ("h", 9, ["q"])]
+    got = diversity.diverse(spark.createDataFrame(rows, "g string, k bigint, w array<string>"), "g", "k", "w", 4).orderBy("g", "place").collect()
+    assert [(r.g, r.k, r.place) for r in got] == [("g", 1, 1), ("g", 3000, 2), ("g", 2, 3), ("g", 3, 4), ("h", 7, 1), ("h", 9, 2), ("h", 8, 3)]
+
+
 def test_stream(spark, tmp_path):
     for i, rows in enumerate(([("u1", "h1", 1), ("u2", "h2", 1)], [("u1", "h9", 2), (None, "x", 2), ("u1", "h9", 2)])):
         spark.createDataFrame(rows, "url string, digest string, at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
