@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut, written
 
 GROUPS = 64
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 60, 5
 #: Words in fewer than this share of the texts weigh alike; the others, at most words-a-text / RARE of them, are sent to every task.
 RARE = 1 / 200
 LEAF, HOT = 32, 4096
@@ -259,9 +259,11 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
     class ids whose common words are at least ``share`` of the longer text's.
     Nulls are empty texts; a text without a word, or without an id, has no class
     and no pair; if an id repeats, each of its texts counts.  Texts are taken
-    whole.  The tiles bring together all but about a thousandth of the pairs
-    near the threshold (recall is measured in the tests); everything that is
-    brought together is decided exactly.
+    whole.  The tiles find a pair of weighted Jaccard similarity ``j`` with
+    probability ``1 - (1 - j**ROWS)**BANDS``: 0.9998 at 2/3, which is an overlap
+    of 0.8 with equal weights and lengths, less if the differing words are
+    rarer.  It is not exact; everything that is brought together is decided
+    exactly.
     """
     bags = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.concat_ws(" ", *columns).alias("text"))
     bags = written(bags.mapInArrow(_word_sets, "id bigint, k1 bigint, k2 bigint, toks array<bigint>"), "bags")

@@ -26,6 +26,15 @@ def test_recall_and_precision_on_the_table(spark, data):
     assert links == {i: sum(i in p for p in got) for i in links}
 
 
+def test_recall_at_the_threshold(spark):
+    rows = []
+    for i in range(200):
+        both = " ".join(f"p{i}w{k}" for k in range(80))
+        rows += [(2 * i + side, both, " ".join(f"p{i}s{side}w{k}" for k in range(20)), None) for side in (0, 1)]
+    members, pairs = near_duplicates(spark.createDataFrame(rows, "job_id bigint, title string, job_description string, job_requirements string"), "job_id", COLS)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(2 * i, 2 * i + 1) for i in range(200)}
+
+
 def test_edges(spark):
     kind = "job_id bigint, title string, job_description string, job_requirements string, id string, toks int"
     long = " ".join(f"từ{i % 700}" for i in range(60000))
