@@ -4,13 +4,15 @@ Statistics are computed from whole texts.  Each is ranked exactly within its
 language: the distinct values with their counts are range-partitioned and
 sorted, each partition sums up its own counts, and partition offsets make the
 sums global.  The ranks give empirical cumulative tail probabilities, whose
-negative logarithms add up to the score of a document.
+weighed negative logarithms add up to the score of a document; the score alone
+tells which documents stand out.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -21,22 +23,22 @@ from ..functions.columns import ACCENTED, BASE
 from ..sources.tables import cut
 from .ordered import running_sums
 
-#: Statistic to the side whose tail is suspicious.
-SIDES: Mapping[str, str] = {
-    "prose_share": "low",
-    "common_share": "low",
-    "end_punct_share": "low",
-    "words_per_line": "low",
-    "symbol_ratio": "high",
-    "digit_share": "high",
-    "garbled_share": "high",
-    "mean_word_length": "high",
+#: Statistic to the side whose tail is suspicious and the weight of its evidence.
+SIDES: Mapping[str, tuple[str, float]] = {
+    "loose_ratio": ("high", 6.0),
+    "common_share": ("low", 0.25),
+    "end_punct_share": ("low", 0.25),
+    "words_per_line": ("low", 0.25),
+    "symbol_ratio": ("high", 0.25),
+    "digit_share": ("high", 0.25),
+    "garbled_share": ("high", 0.25),
+    "mean_word_length": ("high", 0.25),
 }
-#: Upper ends by which unbounded statistics are brought to 0–1; ranks are those of values to 4 places.
-SCALE = {"words_per_line": 100.0, "mean_word_length": 20.0}
-#: A candidate's least score: low on purpose, the check of the body decides.
-CUT = 1.0
-LEAST_PROSE, MOST_GARBLED, SENTENCE_WORDS = 0.5, 0.08, 5
+#: A document with at least this score stands out.
+CUT = 4.5
+MOST_GARBLED, SENTENCE_WORDS = 0.08, 5
+#: Values that bear more than this share of all ranked values, at most 1 / HOT of them, are sent to every task.
+HOT = 1 / 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 _ITEM = re.compile(r"(?m)^[ \t]*(?:[-*+•·▪●]|\d{1,3}[.)]|[A-Za-z]\))[ \t]+")
@@ -58,70 +60,73 @@ def _latin_odd(c: str) -> bool:
 def text_statistics(text: str | None, common: Mapping[str, str]) -> tuple:
     """The statistics of one text and the language its common words speak for.
 
-    ``prose_share`` is the share of words in sentences: at least
-    :data:`SENTENCE_WORDS` words up to a full stop, few of the marks of tables,
-    across line breaks but not across items, tags or blank lines.  An empty or
-    null text has no words: its shares are 0.
+    A word is in a sentence if that has at least :data:`SENTENCE_WORDS` words up
+    to a full stop and few of the marks of tables; a sentence goes across line
+    breaks but not across items, tags or blank lines.  ``prose_share`` is the
+    share of the words in sentences, ``loose_ratio`` the whole number of words
+    outside for one inside; in a text whose letters are garbled no word is in a
+    sentence.  An empty or null text has no words: its shares are 0, and it
+    counts as one loose word.
     """
     t = unicodedata.normalize("NFC", text or "").replace("\r\n", "\n").replace("\r", "\n")
     words = _WORD.findall(t)
     n = len(words)
-    hits: dict[str, int] = {}
-    for w in words:
-        lang = common.get(w.lower().translate(_FOLD))
-        if lang:
-            hits[lang] = hits.get(lang, 0) + 1
+    hits: Counter[str] = Counter()
+    digits = 0
+    for w, k in Counter(words).items():
+        if w.isdigit():
+            digits += k
+        elif lang := common.get(w.lower().translate(_FOLD)):
+            hits[lang] += k
     lines = [x for x in t.split("\n") if x.strip()]
     ended = sum(bool(_ENDED.search(x)) for x in lines)
-    letters = digits = odd = symbols = 0
-    for c, k in _counts(t):
+    letters = odd = symbols = 0
+    for c, k in Counter(t).items():
         if c in _BROKEN or _latin_odd(c):
             odd += k
         if c.isalpha():
             letters += k
         elif not c.isspace() and not c.isdigit() and not unicodedata.combining(c):
             symbols += k
-    digits = sum(w.isdigit() for w in words)
-    prose = 0
-    for block in _BLOCK.split(_TAG.sub("\x01", _ITEM.sub("\x01", t))):
-        for s in _STOP.split(block):
-            if _ENDED.search(s):
-                k = len(_WORD.findall(s))
-                if k >= SENTENCE_WORDS and len(_MARKS.findall(s.strip())) <= 0.15 * k:
-                    prose += k
-    lang = max(hits, key=lambda x: (hits[x], x)) if hits and max(hits.values()) >= 0.05 * n else None
     share = lambda a, b: a / b if b else 0.0
+    garbled = min(1.0, share(odd, letters or len(t)))
+    prose = 0
+    if garbled < MOST_GARBLED:
+        for block in _BLOCK.split(_TAG.sub("\x01", _ITEM.sub("\x01", t))):
+            for s in _STOP.split(block):
+                if _ENDED.search(s):
+                    k = len(_WORD.findall(s))
+                    if k >= SENTENCE_WORDS and len(_MARKS.findall(s.strip())) <= 0.15 * k:
+                        prose += k
+    prose = min(prose, n)
+    best = max(hits.values(), default=0)
+    lang = max(hits, key=lambda x: (hits[x], x)) if best and best >= 0.05 * n else None
     return (
         n,
         share(sum(map(len, words)), n),
         share(symbols, len(t)),
         share(ended, len(lines)),
-        share(max(hits.values(), default=0), n),
+        share(best, n),
         share(digits, n),
         share(n, len(lines)),
-        min(1.0, share(prose, n)),
-        min(1.0, share(odd, letters or len(t))),
+        share(prose, n),
+        garbled,
+        float((n - prose) // max(prose, 1)) if n else 1.0,
         lang,
     )
 
 
-def _counts(t: str):
-    seen: dict[str, int] = {}
-    for c in t:
-        seen[c] = seen.get(c, 0) + 1
-    return seen.items()
-
-
-NAMES = ["n_words", "mean_word_length", "symbol_ratio", "end_punct_share", "common_share", "digit_share", "words_per_line", "prose_share", "garbled_share", "spoken"]
+NAMES = ["n_words", "mean_word_length", "symbol_ratio", "end_punct_share", "common_share", "digit_share", "words_per_line", "prose_share", "garbled_share", "loose_ratio", "spoken"]
 
 
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``doc_id, lang`` and the statistics of each document.
+    """``doc_id, lang, is_spoken`` and the statistics of each document.
 
-    ``lang`` is the language of the text's common words, or else the first part
-    of the column ``lang`` in lower case, or else ``und``.  The list of common
-    words must be short (more than 100,000 raise ``ValueError``); a word of two
-    languages counts for the first in order.  Null ids are kept as rows.
+    ``lang`` is the language of the text's common words (``is_spoken``), or else
+    the first part of the column ``lang`` in lower case if the list has words of
+    that language, or else ``und``.  The list of common words must be short
+    (more than 100,000 raise ``ValueError``); a word of two languages counts for
+    the first in order.  Null ids are kept as rows.
     """
     rows = common_words.where("word is not null and lang is not null").select("word", "lang").limit(100_001).collect()
     if len(rows) > 100_000:
@@ -129,55 +134,59 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     common: dict[str, str] = {}
     for w, lang in sorted((r["word"].lower().translate(_FOLD), r["lang"]) for r in rows):
         common.setdefault(w, lang)
+    n_stats = len(NAMES) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [text_statistics(t, common) for t in batch.column("text").to_pylist()]
             cols = list(zip(*got)) if got else [()] * len(NAMES)
-            arrays = [pa.array(cols[0], pa.int64())] + [pa.array(c, pa.float64()) for c in cols[1:9]] + [pa.array(cols[9], pa.string())]
+            arrays = [pa.array(cols[0], pa.int64())] + [pa.array(c, pa.float64()) for c in cols[1:n_stats]] + [pa.array(cols[n_stats], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *arrays], names=["doc_id", "stated", *NAMES])
 
-    types = "doc_id bigint, stated string, n_words bigint, " + ", ".join(f"{n} double" for n in NAMES[1:9]) + ", spoken string"
+    types = "doc_id bigint, stated string, n_words bigint, " + ", ".join(f"{n} double" for n in NAMES[1:n_stats]) + ", spoken string"
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, types)
     stated = F.regexp_extract(F.lower("stated"), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1)
-    return d.select("doc_id", F.coalesce("spoken", F.when(stated != "", stated), F.lit("und")).alias("lang"), *NAMES[:9])
+    listed = F.when(stated.isin(sorted(set(common.values())) or [""]), stated)
+    return d.select("doc_id", F.coalesce("spoken", listed, F.lit("und")).alias("lang"), F.col("spoken").isNotNull().alias("is_spoken"), *NAMES[:n_stats])
 
 
-def tail_scores(stats: DataFrame, key: str, group: str, sides: Mapping[str, str]) -> DataFrame:
-    """``key, group``, a tail probability ``<stat>_tail`` per statistic and ``score``, the sum of their negative logarithms.
+def tail_scores(stats: DataFrame, key: str, group: str, sides: Mapping[str, tuple[str, float]], known: str | None = None) -> DataFrame:
+    """``key, group``, a tail probability ``<stat>_tail`` per statistic and ``score``, the weighed sum of their negative logarithms.
 
     A tail is the exact share of the group's rows with a value at least as far
-    out; ties have the same rank.  Values are those to four places between 0 and
-    1 after scaling, so there are at most 10,001 of a statistic and group: that
-    is what bounds the table of ranks that is sent to every task.  Nulls count
-    as 0.  Rows of the group ``und`` are ranked among all rows.
+    out; ties have the same rank, nulls count as 0.  Rows of the group ``und``
+    are ranked among all rows, and so are those of a group in which the flag
+    ``known`` holds for less than half of the rows: it can't tell what is usual.
+    A row is one of the result, also where its key is null or stands twice.
     """
     names = list(sides)
-    level = {s: F.round(F.least(F.coalesce(F.col(s), F.lit(0.0)) / SCALE.get(s, 1.0), F.lit(1.0)) * 10000).cast("int") for s in names}
-    coded = stats.select(key, group, F.when(F.col(group) == "und", "*").otherwise(F.col(group)).alias("_rank"), *[level[s].alias(s) for s in names])
-    both = coded.withColumn(group, F.explode(F.array_distinct(F.array("_rank", F.lit("*")))))
-    long = both.select(group, F.inline(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("v")) for i, s in enumerate(names)])))
-    distinct = long.groupBy("stat", group, "v").count()
-    sums = running_sums(distinct, ["stat", group], ["v"], "count")
-    ranks = sums.select("stat", group, "v", "count", (F.col("before") + F.col("count")).alias("le"), "total")
-    low, high = F.col("le") / F.col("total"), (F.col("total") - F.col("le") + F.col("count")) / F.col("total")
-    high_stats = [i for i, s in enumerate(names) if sides[s] == "high"]
-    ranks = cut(ranks.select("stat", group, "v", F.when(F.col("stat").isin(high_stats), high).otherwise(low).alias("tail")))
-    out = coded
-    for i, s in enumerate(names):
-        side = ranks.where(F.col("stat") == i).select(F.col(group).alias("_g"), F.col("v").alias("_v"), F.col("tail").alias(f"{s}_tail"))
-        out = out.join(F.broadcast(side), (F.col("_rank") == F.col("_g")) & (F.col(s) == F.col("_v"))).drop("_g", "_v")
-    score = sum((-F.log(F.col(f"{s}_tail")) for s in names), F.lit(0.0))
-    return out.select(key, group, *[f"{s}_tail" for s in names], F.round(score, 6).alias("score"))
+    flag = F.col(known) if known else F.lit(True)
+    rows = stats.select(key, group, flag.alias("_known"), F.monotonically_increasing_id().alias("_row"), *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in names])
+    rows = cut(rows)
+    trusted = rows.groupBy(group).agg((F.avg(F.col("_known").cast("double")) >= 0.5).alias("_ok"))
+    groups = [r[0] for r in trusted.where(F.col("_ok") & F.col(group).isNotNull() & (F.col(group) != "und")).limit(10_001).collect()]
+    if len(groups) > 10_000:
+        raise ValueError("more groups than are sent to every task")
+    own = F.when(F.col(group).isin(groups or [""]), F.col(group)).otherwise("*")
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("v")) for i, s in enumerate(names)]))
+    long = rows.select("_row", own.alias("_rank"), cells)
+    both = long.select("stat", F.explode(F.array_distinct(F.array("_rank", F.lit("*")))).alias("_rank"), "v")
+    sums = running_sums(both.groupBy("stat", "_rank", "v").count(), ["stat", "_rank"], ["v"], "count")
+    high = F.col("stat").isin([i for i, s in enumerate(names) if sides[s][0] == "high"])
+    tail = F.when(high, F.col("total") - F.col("before")).otherwise(F.col("before") + F.col("count")) / F.col("total")
+    ranks = cut(sums.select("stat", "_rank", "v", "count", tail.alias("tail")))
+    least = max(2, int(HOT * 2 * len(names) * rows.count()) + 1)
+    frequent = F.col("count") >= least
+    met = long.join(F.broadcast(ranks.where(frequent).drop("count")), ["stat", "_rank", "v"], "left")  # at most 1 / HOT rows
+    rare = met.where("tail is null").drop("tail").join(ranks.where(~frequent).drop("count"), ["stat", "_rank", "v"])
+    ranked = met.where("tail is not null").select("_row", "stat", "tail").unionByName(rare.select("_row", "stat", "tail"))
+    each = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("stat") == i, F.col("tail"))).alias(f"{s}_tail") for i, s in enumerate(names)])
+    score = sum((F.lit(-sides[s][1]) * F.log(F.col(f"{s}_tail")) for s in names), F.lit(0.0))
+    return rows.select("_row", key, group).join(each, "_row").select(key, group, *[f"{s}_tail" for s in names], F.round(score, 6).alias("score"))
 
 
 def outliers(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``doc_id, score, prose_share, garbled_share``: documents that stand out and whose body isn't readable prose.
-
-    A document is a candidate if its score reaches :data:`CUT`; the check of the
-    body follows: less than half of its words in sentences, or garbled letters.
-    """
-    stats = cut(document_statistics(documents, common_words).where("doc_id is not null"))
-    scores = tail_scores(stats, "doc_id", "lang", SIDES).where(F.col("score") >= CUT)
-    body = stats.where((F.col("prose_share") < LEAST_PROSE) | (F.col("garbled_share") >= MOST_GARBLED)).select("doc_id", "prose_share", "garbled_share")
-    return body.join(scores.select("doc_id", "score"), "doc_id").select("doc_id", "score", "prose_share", "garbled_share").dropDuplicates(["doc_id"])
+    """``doc_id, score``: the documents whose score reaches :data:`CUT`; of a repeated id the greatest score.  Rows without an id are left out."""
+    stats = document_statistics(documents, common_words).where("doc_id is not null")
+    scores = tail_scores(stats, "doc_id", "lang", SIDES, "is_spoken").where(F.col("score") >= CUT)
+    return scores.groupBy("doc_id").agg(F.max("score").alias("score"))

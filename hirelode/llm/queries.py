@@ -110,12 +110,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     stats = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
-    return stats.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in quality.NAMES[1:9]])
+    return stats.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in quality.NAMES[1:-1]])
 
 
 def p10_tails(spark: SparkSession, d: str) -> DataFrame:
     stats = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words")).where("doc_id is not null")
-    return quality.tail_scores(stats, "doc_id", "lang", quality.SIDES)
+    return quality.tail_scores(stats, "doc_id", "lang", quality.SIDES, "is_spoken")
 
 
 QUERIES: dict[str, Query] = {
