@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ACCENTED, BASE
 from ..sources.tables import cut
+from .places import FOLDED, fold
 
-_FOLD = str.maketrans(ACCENTED + ACCENTED.upper(), BASE + BASE.upper())
-#: Fixed values (public geography): names of provinces and cities, folded.
-CITIES = """ha noi|hai phong|quang ninh|bac ninh|hai duong|hung yen|vinh phuc|thai nguyen|bac giang|nam dinh|thai binh|ha nam|ninh binh|phu tho|hoa binh|lao cai|yen bai|lang son|tuyen quang|son la|dien bien|cao bang|ha giang|bac kan|lai chau|da nang|thanh hoa|nghe an|ha tinh|quang binh|quang tri|thua thien hue|quang nam|quang ngai|binh dinh|phu yen|khanh hoa|ninh thuan|binh thuan|kon tum|gia lai|dak lak|dak nong|lam dong|ho chi minh|binh duong|dong nai|ba ria vung tau|tay ninh|binh phuoc|long an|tien giang|ben tre|tra vinh|vinh long|dong thap|an giang|kien giang|can tho|hau giang|soc trang|bac lieu|ca mau""".split("|")
 #: Other ways of writing a city.
-CITY_NAMES = {c: c for c in CITIES} | {c.replace(" ", ""): c for c in CITIES} | {"hcm": "ho chi minh", "hcmc": "ho chi minh", "tphcm": "ho chi minh", "sai gon": "ho chi minh", "saigon": "ho chi minh", "hn": "ha noi", "brvt": "ba ria vung tau", "br vt": "ba ria vung tau", "hue": "thua thien hue", "vung tau": "ba ria vung tau", "ba ria": "ba ria vung tau", "dac lac": "dak lak"}
+CITY_NAMES = {c: c for c in FOLDED} | {c.replace(" ", ""): c for c in FOLDED} | {"hcm": "ho chi minh", "hcmc": "ho chi minh", "tphcm": "ho chi minh", "sai gon": "ho chi minh", "saigon": "ho chi minh", "hn": "ha noi", "brvt": "ba ria vung tau", "br vt": "ba ria vung tau", "hue": "thua thien hue", "vung tau": "ba ria vung tau", "ba ria": "ba ria vung tau", "dac lac": "dak lak"}
 _COUNTRY = {"viet nam", "vietnam", "vn"}
 _HOUSE = r"\d+[a-z]?(?:/\d+[a-z]?)*(?![\w/])"
 _NUMBER_WORD = r"(?:(?:nha\s+)?so(?:\s+nha)?|sn|no|number|nha)\s*\.?\s*"
@@ -41,10 +39,6 @@ _DISTRICT_WORD = re.compile(r"^(?:quan|huyen|thi xa|q|h|tx)(?:\s*\.\s*|\s+)")
 _PLACE_PART = re.compile(r"^(?:tang|lau|floor|fl)\s*\.?\s*\d|^toa(?:\s+nha)?\s|(?:building|tower)$|^(?:building|tower|block|khu)\s")
 
 
-def _fold(s: str) -> str:
-    return s.translate(_FOLD)
-
-
 def distance(a: str, b: str, most: int = 2) -> int:
     """Edits between two words, a swap of neighbours counting once; ``most + 1`` if more."""
     if a == b:
@@ -104,7 +98,7 @@ def parse(address: str | None) -> tuple:
     segs = _segments(t)
     waiting = False
     for s in segs:
-        f = _fold(s)
+        f = fold(s)
         if f in _COUNTRY or _PLACE_PART.search(f):
             continue
         if m := _WARD.match(f):
@@ -145,7 +139,7 @@ def parse(address: str | None) -> tuple:
             continue
         loose.append(s)
     for s in loose:
-        f = _fold(s)
+        f = fold(s)
         bare = _CITY_WORD.sub("", f)
         c, e = city_of(bare)
         tail = next((t for k in (4, 3, 2) if len(f.split()) > k and (t := " ".join(f.split()[-k:])) in CITY_NAMES), "")
@@ -156,15 +150,15 @@ def parse(address: str | None) -> tuple:
         elif c and not city:
             city, city_edits = c, e
     if not city and district:
-        c, e = city_of(_fold(district))
+        c, e = city_of(fold(district))
         if c and e == 1:
             city, city_edits = c, 5  # uncertain: a district's city goes first
-    plain = t == _fold(t)
+    plain = t == fold(t)
     return house, _clean(street), plain, ward, _clean(district), city, city_edits
 
 
 def _bare_street(s: str) -> str:
-    f = _fold(s)
+    f = fold(s)
     m = _STREET_WORD.match(f)
     return s[m.end() :] if m else s
 
@@ -221,7 +215,7 @@ def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def streets_agree(a: str, b: str, plain_a: bool, plain_b: bool, odd_a: set, odd_b: set) -> bool:
     if plain_a or plain_b:
-        a, b, odd_a, odd_b = _fold(a), _fold(b), set(map(_fold, odd_a)), set(map(_fold, odd_b))
+        a, b, odd_a, odd_b = fold(a), fold(b), set(map(fold, odd_a)), set(map(fold, odd_b))
     if a == b:
         return True
     x, y = a.split(), b.split()
@@ -242,11 +236,14 @@ def same_houses(cache: DataFrame, key: str, address: str) -> tuple[DataFrame, Da
 
     A class is one way of writing city, house number and street.  Rows without a
     house number, a street or a city that can be told belong to none.  Null and
-    empty addresses belong to none.
+    empty addresses belong to none.  Of a repeated id the row counts whose city
+    is surest, then the least in order.
     """
     rows = cache.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(address).cast("string").alias("address"))
     rows = rows.mapInArrow(_parts, "id bigint, house string, street string, plain boolean, ward string, district string, city string, city_edits int")
-    rows = cut(rows.where("house <> '' and street <> ''").dropDuplicates(["id"]))
+    rows = rows.where("house <> '' and street <> ''")
+    best = F.min(F.struct("city_edits", "district", "house", "street", "plain", "ward", "city"))
+    rows = cut(rows.groupBy("id").agg(best.alias("r")).select("id", "r.*"))
     folded = lambda c: F.translate(c, ACCENTED, BASE)
     # districts: slips corrected, then the city most rows state for it
     fixed = corrected(rows.where("district <> ''"), "district").select("district", "plain", "right_form")

@@ -1,35 +1,23 @@
-"""Personal data in running text: found, replaced by typed placeholders or by surrogates.
+"""Personal data in running text: found, and replaced by typed placeholders.
 
-A surrogate is of the same kind and form as what it stands for: digits stay
-digits in their grouping, a name keeps gender, script and case, an e-mail stays
-an e-mail.  It is drawn with a secret key from the datum's canonical form, so
-that all ways of writing one datum get one surrogate (coreference); two data
-that draw the same one are parted in rounds (distinctness).
+``surrogates`` replaces them by made-up data of the same kind and form.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import unicodedata
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.columns import ACCENTED, BASE
-from ..sources.tables import cut
+from .places import PROVINCES, fold
 
-_FOLD = str.maketrans(ACCENTED + ACCENTED.upper(), BASE + BASE.upper())
-#: Fixed values (public geography): the provinces and cities an address may end in.
-PROVINCES = """Hà Nội|Hải Phòng|Quảng Ninh|Bắc Ninh|Hải Dương|Hưng Yên|Vĩnh Phúc|Thái Nguyên|Bắc Giang|Nam Định|Thái Bình|Hà Nam|Ninh Bình|Phú Thọ|Hòa Bình|Lào Cai|Yên Bái|Lạng Sơn|Tuyên Quang|Sơn La|Điện Biên|Cao Bằng|Hà Giang|Bắc Kạn|Lai Châu|Đà Nẵng|Thanh Hóa|Nghệ An|Hà Tĩnh|Quảng Bình|Quảng Trị|Thừa Thiên Huế|Quảng Nam|Quảng Ngãi|Bình Định|Phú Yên|Khánh Hòa|Ninh Thuận|Bình Thuận|Kon Tum|Gia Lai|Đắk Lắk|Đắk Nông|Lâm Đồng|Hồ Chí Minh|Bình Dương|Đồng Nai|Bà Rịa - Vũng Tàu|Tây Ninh|Bình Phước|Long An|Tiền Giang|Bến Tre|Trà Vinh|Vĩnh Long|Đồng Tháp|An Giang|Kiên Giang|Cần Thơ|Hậu Giang|Sóc Trăng|Bạc Liêu|Cà Mau""".split("|")
 _SHORT = ["HCM", "HCMC", "Hanoi", "Haiphong", "Danang", "Cantho", "Daklak", "Daknong", "Huế", "Hue"]
-_PLACE = "|".join(sorted({re.escape(p) for x in PROVINCES + _SHORT for p in (x, x.translate(_FOLD))}, key=len, reverse=True))
+_PLACE = "|".join(sorted({re.escape(p) for x in PROVINCES + _SHORT for p in (x, fold(x))}, key=len, reverse=True))
 
 _SEP = r"[. \t\u00a0\-‑–]"
 _AT = r"(?:\s*[@＠]\s*|\s*[\[({]\s*(?:at|a\s*còng|a\s*cong)\s*[\])}]\s*|\s+(?:a\s*còng|a\s*cong)\s+)"
@@ -55,7 +43,7 @@ _NAMED = re.compile(rf"\s*:?\s*(?:{_TITLE}\s+)?({_W}(?:\s{_W}){{0,4}})(?!\p{{L}}
 _CALLED = re.compile(rf"\s+({_W}(?:\s{_W}){{0,4}})(?!\p{{L}})")
 #: Family names.
 FAMILY = "Nguyễn|Trần|Lê|Phạm|Hoàng|Huỳnh|Phan|Vũ|Võ|Đặng|Bùi|Đỗ|Hồ|Ngô|Dương|Lý|Đoàn|Trịnh|Đinh|Lương|Ninh|Cù|Vi|Khổng|Thân|Tô|Mai|Đào|Hà|Tạ|Tống|Chu|Cao|Quách|La|Thái|Lưu|Phùng|Vương|Trương|Ông|Kiều|Lâm|Tăng|Hứa|Từ|Nghiêm|Mạc|Triệu|Diệp".split("|")
-_FAMILY = "|".join(sorted({y for x in FAMILY for y in (x, x.upper(), x.translate(_FOLD), x.translate(_FOLD).upper())}, key=len, reverse=True))
+_FAMILY = "|".join(sorted({y for x in FAMILY for y in (x, x.upper(), fold(x), fold(x).upper())}, key=len, reverse=True))
 FULL_NAME = re.compile(rf"(?<!\p{{L}})(?:{_FAMILY})(?:\s{_W}){{1,4}}(?!\p{{L}})")
 _PLACES = re.compile(rf"(?<!\p{{L}})(?:{_PLACE})(?!\p{{L}})")
 _FIRM = re.compile(r"(?i)(?:công ty|cong ty|tập đoàn|tap doan|kinh doanh|dự án|du an|nhãn hàng|nhan hang|chi nhánh|chi nhanh|thương hiệu|hệ thống|sản phẩm|chợ|gan cho|cầu|bến|công viên|trường|bệnh viện|siêu thị|ngã tư|ngã ba|đường|phố|phường|quận|huyện|street|tòa nhà|toà nhà|TNHH|cổ phần|MTV|một thành viên)\s*:?\s*$")
@@ -110,6 +98,10 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
         return []
     if not text.isascii() and not unicodedata.is_normalized("NFC", text):
         return _placed_back(text)
+    return _searched(text)
+
+
+def _searched(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -179,11 +171,15 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
 
 
 _FOLLOWED = re.compile(r"\s*(?:['’&]|\d)")
-_CLUSTER = re.compile(r"\P{M}\p{M}*|\p{M}+")
+_CLUSTER = re.compile(r"\X")
 
 
 def _placed_back(text: str) -> list[tuple[int, int, str]]:
-    """Findings of the composed form of ``text``, at their places in ``text``."""
+    """Findings of the composed form of ``text``, at their places in ``text``.
+
+    A text whose composed form isn't that of its clusters one by one is searched
+    as it is written.
+    """
     parts, starts, ends, at = [], [], [], 0
     for c in _CLUSTER.findall(text):
         one = unicodedata.normalize("NFC", c)
@@ -193,29 +189,43 @@ def _placed_back(text: str) -> list[tuple[int, int, str]]:
         ends += [at] * len(one)
     whole = "".join(parts)
     if unicodedata.normalize("NFC", whole) != whole:
-        return []
-    return [(starts[a], ends[b - 1], kind) for a, b, kind in find_personal(whole)]
+        return _searched(text)
+    return [(starts[a], ends[b - 1], kind) for a, b, kind in _searched(whole)]
+
+
+#: Forms of address of a woman and of a man.
+_MS = re.compile(r"(?i)(?<!\p{L})(?:chị|chi|cô|co|bà|ba|mrs\.?|ms\.?|miss)\s*$")
+_MR = re.compile(r"(?i)(?<!\p{L})(?:anh|ông|ong|thầy|mr\.?)\s*$")
+
+
+def addressed(text: str, start: int) -> str | None:
+    """``f`` or ``m`` by the form of address that stands before ``start``."""
+    before = unicodedata.normalize("NFC", text[max(0, start - 12) : start])
+    return "f" if _MS.search(before) else "m" if _MR.search(before) else None
 
 
 def findings(jobs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """``key, field_name, kind, value_text, n``: each distinct datum of a cell as written, and how often it stands there."""
+    """``key, field_name, kind, value_text, n, gender``: each distinct datum of a cell as written, how often it stands there, and the gender (``f, m``) a form of address before a name tells."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("cell")) for f in fields])
     cells = jobs.select(F.col(key), F.inline(pairs)).where("cell is not null and cell <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, kinds, values = [], [], []
+            row, kinds, values, genders = [], [], [], []
             for i, t in enumerate(batch.column("cell").to_pylist()):
                 for a, b, kind in find_personal(t):
                     row.append(i)
                     kinds.append(kind)
                     values.append(t[a:b])
+                    genders.append(addressed(t, a) if kind == "name" else None)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(at), batch.column("field_name").take(at), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=[key, "field_name", "kind", "value_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(at), batch.column("field_name").take(at), *[pa.array(x, pa.string()) for x in (kinds, values, genders)]], names=[key, "field_name", "kind", "value_text", "gender"]
+            )
 
     kind = dict(jobs.dtypes)[key]
-    raw = cells.mapInArrow(run, f"{key} {kind}, field_name string, kind string, value_text string")
-    return raw.groupBy(key, "field_name", "kind", "value_text").agg(F.count("*").alias("n"))
+    raw = cells.mapInArrow(run, f"{key} {kind}, field_name string, kind string, value_text string, gender string")
+    return raw.groupBy(key, "field_name", "kind", "value_text").agg(F.count("*").alias("n"), F.max("gender").alias("gender"))
 
 
 def redacted(jobs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -225,14 +235,15 @@ def redacted(jobs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
         for batch in batches:
             cols = [batch.column(key)]
             for f in fields:
-                cols.append(pa.array([_replace(t, lambda kind, _: f"[{kind.upper()}]") for t in batch.column(f).to_pylist()], pa.string()))
+                cols.append(pa.array([replaced(t, lambda kind, _: f"[{kind.upper()}]") for t in batch.column(f).to_pylist()], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[key, *fields])
 
     kind = dict(jobs.dtypes)[key]
     return jobs.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{f} string" for f in fields))
 
 
-def _replace(text: str | None, by) -> str | None:
+def replaced(text: str | None, by) -> str | None:
+    """``text`` with each datum replaced by what ``by`` makes of its kind and writing."""
     if text is None:
         return None
     out, at = [], 0
@@ -240,104 +251,3 @@ def _replace(text: str | None, by) -> str | None:
         out += [text[at:a], by(kind, text[a:b])]
         at = b
     return "".join([*out, text[at:]])
-
-
-_WORDS = {w: d for d, ws in enumerate(("không khong zero", "một mot mốt one", "hai two", "ba three", "bốn bon tư four", "năm nam lăm five", "sáu sau six", "bảy bay bẩy seven", "tám tam eight", "chín chin nine")) for w in ws.split()}
-_FEMALE = "Hương Lan Mai Nga Thảo Vy Nhi Trang Linh Diễm Quyên Thoa Sương Miên Thư Yến Hà Ngân Oanh Phượng".split()
-_MALE = "Bách Dũng Hùng Khải Kiên Long Nam Phong Quân Sơn Tiến Toàn Tùng Duy Cường Đạt Hải Lâm Minh Vinh".split()
-_MIDDLE = "An Bảo Cát Chí Diệu Đăng Gia Hạ Hoài Khánh Kim Lạc Minh Ngọc Nhã Phúc Quang Song Thanh Thiên Thục Tố Trúc Uyên".split()
-_GIVEN_FEMALE = frozenset(x.translate(_FOLD).lower() for x in [*_FEMALE, "Thị", "Giang", "Hiền", "Hoa", "Huệ", "Liên", "Thúy"])
-
-
-def canonical(kind: str, value: str) -> str:
-    """The form in which two ways of writing one datum agree."""
-    v = unicodedata.normalize("NFC", value).lower()
-    if kind == "phone":
-        words = [_WORDS[w] for w in re.split(r"[\s,.\-]+", v) if w in _WORDS]
-        d = "".join(map(str, words)) if len(words) >= 8 else re.sub(r"\D", "", v.replace("o", "0"))
-        return re.sub(r"^(?:00)?84(?=\d{9})", "0", d)
-    if kind == "email":
-        v = re.sub(r"(?i)\s*[\[({]?\s*(?:a\s*còng|a\s*cong|(?<![a-z])at(?![a-z]))\s*[\])}]?\s*", "@", v)
-        v = re.sub(r"(?i)\s*[\[({]?\s*(?:chấm|cham|(?<![a-z])dot(?![a-z]))\s*[\])}]?\s*", ".", v)
-        return re.sub(r"\s", "", v)
-    if kind == "id_number":
-        return re.sub(r"[^a-z0-9]", "", v)
-    return re.sub(r"[^a-z0-9/]+", " ", v.translate(_FOLD)).strip()
-
-
-def _numbers(secret: str, kind: str, canon: str, attempt: int) -> Iterator[int]:
-    i = 0
-    while True:
-        yield from hmac.new(secret.encode(), f"{kind}\x1f{canon}\x1f{attempt}\x1f{i}".encode(), hashlib.sha256).digest()
-        i += 1
-
-
-def surrogate(secret: str, kind: str, value: str, attempt: int = 0) -> str:
-    """A stand-in for ``value`` of the same kind and form."""
-    canon = canonical(kind, value)
-    draw = _numbers(secret, kind, canon, attempt)
-    if kind in ("phone", "id_number"):
-        digits = sum(c.isdigit() for c in value)
-        if digits < 6:  # spelled out
-            return " ".join(w if i == 0 else "không một hai ba bốn năm sáu bảy tám chín".split()[next(draw) % 10] for i, w in enumerate(value.split()))
-        keep = 2 if kind == "phone" else 1
-        drawn = "".join(str(next(draw) % 10) for _ in range(20))
-        seen, out = 0, []
-        tail = digits - (9 if kind == "phone" else digits)
-        for c in value:
-            if c.isdigit():
-                seen += 1
-                out.append(c if seen <= max(tail, 0) + keep - 1 else drawn[seen - max(tail, 0) - 1])
-            else:
-                out.append(c)
-        return "".join(out)
-    if kind == "email":
-        local = "".join(chr(97 + next(draw) % 26) for _ in range(8)) + str(next(draw) % 90 + 10)
-        return f"{local}@{'mail' if next(draw) % 2 else 'post'}.example"
-    if kind == "name":
-        parts = value.split()
-        female = any(p.translate(_FOLD).lower() in _GIVEN_FEMALE for p in (parts[-1], *parts[1:2]))
-        pool = _FEMALE if female else _MALE
-        new = [pool[next(draw) % len(pool)]]
-        if len(parts) > 1 or attempt:
-            new = [FAMILY[next(draw) % len(FAMILY)], *[_MIDDLE[next(draw) % len(_MIDDLE)] for _ in range(max(0, len(parts) - 2) + min(attempt, 3))], *new]
-        out = " ".join(new)
-        if value == value.translate(_FOLD):
-            out = out.translate(_FOLD)
-        return out.upper() if value.isupper() else out
-    number = (next(draw) << 8 | next(draw)) % 900 + 1
-    place = value.rsplit(",", 1)[-1].rsplit(" - ", 1)[-1].strip()
-    street = f"{_MIDDLE[next(draw) % len(_MIDDLE)]} {_MALE[next(draw) % len(_MALE)]}"
-    return f"{number} đường {street}, {place}" if value != value.translate(_FOLD) else f"{number} duong {street.translate(_FOLD)}, {place}"
-
-
-def surrogates(found: DataFrame, secret: str, rounds: int = 6) -> DataFrame:
-    """``kind, canon, value_text, surrogate``: a surrogate per way of writing; one datum has one, two data never share one.
-
-    The surrogate of a datum is drawn for its least way of writing and kept for
-    the others up to script and case; a datum whose surrogate is also drawn for
-    a lesser one, or is itself a datum found, draws again, up to ``rounds``
-    times; then its order number is added.
-    """
-
-    @F.pandas_udf("string")
-    def canon(kind: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([canonical(k, v) for k, v in zip(kind, value)], dtype=object)
-
-    @F.pandas_udf("string")
-    def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(secret, k, v, int(a)) for k, v, a in zip(kind, value, attempt)], dtype=object)
-
-    values = found.select("kind", "value_text").distinct().withColumn("canon", canon("kind", "value_text"))
-    values = cut(values)
-    data = values.groupBy("kind", "canon").agg(F.min("value_text").alias("sample")).withColumn("attempt", F.lit(0))
-    used = values.select("kind", F.col("value_text").alias("s"), F.lit(True).alias("real")).distinct()
-    for _ in range(rounds):
-        data = data.withColumn("s", drawn("kind", "sample", "attempt"))
-        order = F.row_number().over(W.partitionBy("kind", "s").orderBy("attempt", "canon"))
-        data = data.withColumn("again", (order > 1)).join(used, ["kind", "s"], "left")
-        data = cut(data.select("kind", "canon", "sample", (F.col("attempt") + F.when(F.col("again") | F.col("real").isNotNull(), 1).otherwise(0)).alias("attempt")))
-    data = data.withColumn("s", drawn("kind", "sample", "attempt"))
-    order = F.row_number().over(W.partitionBy("kind", "s").orderBy("attempt", "canon"))
-    data = data.withColumn("s", F.when(order > 1, F.concat("s", F.lit(" "), order.cast("string"))).otherwise(F.col("s")))
-    return values.join(data.select("kind", "canon", "s"), ["kind", "canon"]).select("kind", "canon", "value_text", F.col("s").alias("surrogate"))

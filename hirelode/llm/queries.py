@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from . import address, consensus, mapping, mixing, neardup, packing, pii, quality
+from ..sources.tables import cut, table
+from . import address, consensus, mapping, mixing, neardup, packing, pii, quality, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 PII_FIELDS = ["job_description", "job_requirements", "job_benefits"]
 TEXT_FIELDS = ["title", "job_description", "job_requirements"]
-SURROGATE_KEY = "hirelode"
+#: Setting of the session that holds the secret key; without it (tests) surrogates are drawn with a public one.
+KEY_SETTING, PUBLIC_KEY = "spark.hirelode.surrogateKey", "not secret"
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +75,17 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.surrogates(pii.findings(table(spark, d, "jobs"), "job_id", PII_FIELDS), SURROGATE_KEY)
+    found = pii.findings(table(spark, d, "jobs"), "job_id", PII_FIELDS)
+    return surrogates.surrogates(cut(found), _key(spark)).select("kind", "canon", "value_text", "surrogate")
+
+
+def p5_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with surrogates in the place of personal data."""
+    return surrogates.pseudonymised(table(spark, d, "jobs"), "job_id", PII_FIELDS, _key(spark))
+
+
+def _key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +132,7 @@ def p10_tails(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_unmatched, p3_found, p3_items, p3_annotators, p3_agreement, p4_found, p4_members, p5_found, p5_redacted, p5_surrogates,
+        p2_found, p2_unmatched, p3_found, p3_items, p3_annotators, p3_agreement, p4_found, p4_members, p5_found, p5_redacted, p5_surrogates, p5_pseudonymised,
         p6_found, p6_members, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_statistics, p10_tails,
     )
 }
