@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 LEVELS = 11
 #: Annotators' parameters are sent to every task; more annotators than this raise ValueError.
 MAX_ANNOTATORS = 100_000
-ROUNDS, INNER = 12, 4
+#: Rounds end when no skill and no habit moves by more than SETTLED, or after ROUNDS.
+ROUNDS, INNER, SETTLED = 40, 4, 0.02
 
 
 def annotation_labels(annotations: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def _pass(p: dict):
 
 
 def fit(items: DataFrame, annotators: int, marginals: np.ndarray) -> dict:
-    """The parameters after :data:`ROUNDS` rounds.  ``items.labels`` holds ``annotator * 11 + score``; ``marginals`` each annotator's counts of scores."""
+    """The parameters once they have settled.  ``items.labels`` holds ``annotator * 11 + score``; ``marginals`` each annotator's counts of scores."""
     g = (marginals + 0.5) / (marginals + 0.5).sum(1, keepdims=True)
     # at the start the upper part of each annotator's own scores leans to the upper class
     rank = np.cumsum(g, 1) - g / 2
@@ -119,12 +121,15 @@ def fit(items: DataFrame, annotators: int, marginals: np.ndarray) -> dict:
         sums = np.zeros((annotators, 2 * LEVELS + 4))
         rows = items.mapInArrow(_pass(p), "a int, k int, v double").groupBy("a", "k").agg(F.sum("v").alias("v")).toPandas()  # at most 26 numbers an annotator
         sums[rows["a"], rows["k"]] = rows["v"]
+        before = {k: p[k] for k in ("h0", "h1", "skill")}
         h0 = sums[:, :LEVELS] + g
         h1 = sums[:, LEVELS : 2 * LEVELS] + g
         p["h0"], p["h1"] = h0 / h0.sum(1, keepdims=True), h1 / h1.sum(1, keepdims=True)
         step = (sums[:, -4] - (p["skill"] - 1)) / (sums[:, -3] + 1)
         p["skill"] = np.clip(p["skill"] + np.clip(step, -1, 1), -6, 6)
         p["prior"] = float(np.clip((sums[0, -2] + 1) / (sums[0, -1] + 2), 0.02, 0.98))
+        if max(float(np.abs(p[k] - v).max()) for k, v in before.items()) <= SETTLED:
+            break
     return p
 
 
@@ -153,10 +158,11 @@ def consensus(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels both are empty.
     """
     spark: SparkSession = labels.sparkSession
-    counts = labels.groupBy("annotator", "score").count().toPandas()  # at most 11 rows an annotator, checked next
-    names = sorted(counts["annotator"].unique())
-    if len(names) > MAX_ANNOTATORS:
+    labels = cut(labels)
+    if labels.select("annotator").distinct().limit(MAX_ANNOTATORS + 1).count() > MAX_ANNOTATORS:
         raise ValueError("more annotators than are sent to every task")
+    counts = labels.groupBy("annotator", "score").count().toPandas()  # at most 11 rows an annotator
+    names = sorted(counts["annotator"].unique())
     if not names:
         empty_items = spark.createDataFrame([], "table_name string, item_key string, posterior double, difficulty double, n_labels int")
         return empty_items, spark.createDataFrame([], "annotator string, skill double, reliability double, habit_shift double, n_labels bigint")
@@ -167,7 +173,8 @@ def consensus(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbers = spark.createDataFrame([(a, i) for a, i in index.items()], "annotator string, a int")
     coded = labels.join(F.broadcast(numbers), "annotator").select("table_name", "item_key", (F.col("a") * LEVELS + F.col("score")).alias("c"))
     # one label an annotator: a list is at most as long as the checked number of annotators
-    items = coded.groupBy("table_name", "item_key").agg(F.sort_array(F.collect_list("c")).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
+    items = coded.groupBy("table_name", "item_key").agg(F.sort_array(F.collect_list("c")).alias("labels"))
+    items = cut(items)
     p = fit(items, len(names), marginals)
     out = items.mapInArrow(_scored(p), "table_name string, item_key string, posterior double, difficulty double, n_labels int")
     apart = 0.5 * np.abs(p["h1"] - p["h0"]).sum(1) / (1 + np.exp(-p["skill"]))

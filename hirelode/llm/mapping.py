@@ -97,13 +97,10 @@ def _without_one(c: Column) -> Column:
 
 
 def _variants(c: Column) -> Column:
-    """A token and what is left of it without one letter or, from three letters on, without two.
-
-    A token longer than 24 letters is no name; only itself is looked up.
-    """
+    """A token and what is left of it without one letter or, from three letters on, without two."""
     one = _without_one(c)
     two = F.when(F.length(c) >= 3, F.flatten(F.transform(one, _without_one))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.length(c) > 24, F.array(c)).otherwise(F.array_distinct(F.concat(F.array(c), one, two)))
+    return F.array_distinct(F.concat(F.array(c), one, two))
 
 
 def _tokens(c: Column) -> Column:
@@ -141,6 +138,9 @@ def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame, initials: bool) ->
     v = vocabulary.select(F.col("token").alias("ref_token")).distinct()
     t = tokens.select("token").distinct()
     left = t.select("token", F.explode(F.array_distinct(F.array("token", _plain(F.col("token"))))).alias("form")).where("form <> ''")
+    # what is longer than the longest word by more than two letters is more than two edits from all of them
+    longest_word = v.agg(F.max(F.length("ref_token"))).collect()[0][0] or 0
+    left = left.where(F.length("form") <= longest_word + 2)
     left = left.select("token", "form", F.explode(_variants(F.col("form"))).alias("key"))
     right = v.select("ref_token", F.explode(_variants(F.col("ref_token"))).alias("key"))
     near = left.join(right, "key").select("token", "form", "ref_token").distinct()

@@ -1,7 +1,8 @@
 """Texts packed into containers of fixed capacity: first fit, largest first.
 
-Documents are dealt at random into groups of bounded size; each group is packed
-on its own.  A tournament tree over the containers' free room finds the first
+A text longer than a container fills containers of its own and leaves a rest;
+the rests and the shorter texts are dealt at random into groups of bounded size,
+and each group is packed on its own.  A tournament tree over the containers' free room finds the first
 container that still takes a piece in logarithmic time.  A group leaves at most
 its last containers part empty, so large groups lose little.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 from .tokens import VOCABULARY, token_counts
 
-#: Pieces of a group on average.  The number of groups follows from the number of texts.
+#: Pieces of a group on average: a text brings one at most, and the number of groups follows from that of the texts.
 GROUP = 16_384
 
 
@@ -57,7 +58,8 @@ def packed(documents: DataFrame, pack_sizes: DataFrame, vocabulary: str = VOCABU
     """``pack_id, container_id, doc_id, piece_no, start_token, n_tokens``: a row per piece of a text and capacity.
 
     A text up to the capacity is one piece (``piece_no`` 1); a longer one is cut
-    into full containers and a rest.  ``container_id`` is ``group:number``.
+    into full containers and a rest.  ``container_id`` is ``group:number``, and
+    ``row.piece`` of a container that a long text fills.
     Texts without tokens, and capacities that are null or below 1, give no row;
     a repeated ``doc_id`` is as many texts.  ``pack_sizes`` must be a short list
     (more than 1,000 rows raise ``ValueError``).
@@ -66,18 +68,21 @@ def packed(documents: DataFrame, pack_sizes: DataFrame, vocabulary: str = VOCABU
     if len(packs) > 1000:
         raise ValueError("too many capacities")
     spark = documents.sparkSession
-    counts = cut(token_counts(documents, vocabulary).where("n_tokens > 0"))
-    groups = max(1, -(-counts.count() // GROUP))
     sizes = spark.createDataFrame(packs, "pack_id int, capacity_tokens int")
-    dealt = counts.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("int").alias("group_no"))
-    dealt = dealt.crossJoin(F.broadcast(sizes))  # a text has to be packed for every capacity of the short list
-    pieces = dealt.select(
-        "pack_id", "capacity_tokens", "group_no", "doc_id", F.col("n_tokens").alias("_all"), F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.col("capacity_tokens").cast("bigint"))).alias("_at", "start_token")
-    ).select("pack_id", "capacity_tokens", "group_no", "doc_id", (F.col("_at") + 1).alias("piece_no"), "start_token", F.least(F.col("_all") - F.col("start_token"), F.col("capacity_tokens").cast("bigint")).alias("n_tokens"))
+    counts = cut(token_counts(documents, vocabulary).where("n_tokens > 0").withColumn("_row", F.monotonically_increasing_id()))
+    groups = max(1, -(-counts.count() // GROUP))
+    dealt = counts.crossJoin(F.broadcast(sizes))  # a text has to be packed for every capacity of the short list
+    size = F.col("capacity_tokens").cast("bigint")
+    full, rest = F.floor(F.col("n_tokens") / size), F.col("n_tokens") % size
+    whole = dealt.where(F.col("n_tokens") >= size).select("pack_id", "_row", "doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), full)).alias("piece_no"), size.alias("n_tokens"))
+    whole = whole.select("pack_id", F.concat_ws(".", "_row", "piece_no").alias("container_id"), "doc_id", F.col("piece_no").cast("int").alias("piece_no"), ((F.col("piece_no") - 1) * F.col("n_tokens")).alias("start_token"), "n_tokens")
+    group = F.pmod(F.xxhash64("doc_id", "_row", F.lit(seed)), F.lit(groups)).cast("int")
+    pieces = dealt.where(rest > 0).select("pack_id", "capacity_tokens", group.alias("group_no"), "doc_id", (full + 1).cast("int").alias("piece_no"), (full * size).alias("start_token"), rest.alias("n_tokens"))
     types = "pack_id int, group_no int, container_no bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint"
-    # a group is a random share of the texts, about GROUP of them whatever the input's size
+    # a group is a random share of the texts with one piece of each, about GROUP of them whatever the input's size
     out = pieces.groupBy("pack_id", "group_no").applyInPandas(_pack, types)
-    return out.select("pack_id", F.concat_ws(":", "group_no", "container_no").alias("container_id"), "doc_id", "piece_no", "start_token", "n_tokens")
+    out = out.select("pack_id", F.concat_ws(":", "group_no", "container_no").alias("container_id"), "doc_id", "piece_no", "start_token", "n_tokens")
+    return out.unionByName(whole)
 
 
 def fill_report(rows: DataFrame, pack_sizes: DataFrame) -> DataFrame:

@@ -41,3 +41,14 @@ def test_adjudicated(spark):
     s = "struct<relevance_score:int,skills_match:int>"
     df = spark.createDataFrame([(1, "k", ((5, 1), (None, 1), (9, 1))), (2, "k", ((6, 1), None, (9, 1))), (3, None, None)], f"case_index bigint, pair_key string, original_model_scores struct<cohere:{s},gptoss:{s},llama:{s}>")
     assert sorted((r.annotator, r.score) for r in adjudicated_labels(df).collect()) == [("cohere", 6), ("llama", 9)]
+
+
+def test_too_many_annotators_are_refused_before_they_are_collected(spark, monkeypatch):
+    import pytest
+
+    from hirelode.llm import consensus as module
+
+    monkeypatch.setattr(module, "MAX_ANNOTATORS", 3)
+    df = spark.createDataFrame([("t", "k", f"a{i}", 5) for i in range(4)], "table_name string, item_key string, annotator string, score int")
+    with pytest.raises(ValueError):
+        consensus(df)
