@@ -5,9 +5,11 @@ words two texts have in common, counted with repetition, are a set intersection.
 Words are hashed into :data:`GROUPS` groups; a text is the point of its group
 counts, and the sum of the coordinate minima of two points is never less than
 their overlap.  Points are brought together in tiles by weighted minimum hashes
-(rare words weigh more); within a tile an R-tree over the points is joined with
-itself, discarding nodes, then points, whose bound is too low; what survives is
-checked exactly.  Texts with equal words are one class with one point.
+(rare words weigh more); only numbers are shuffled for that, and a text alone in
+its tile goes no further.  Within a tile an R-tree over the points is joined
+with itself, discarding nodes, then points, whose bound is too low; what
+survives is checked exactly.  Texts with equal words are one class with one
+point.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BANDS, ROWS = 60, 5
 #: Words in fewer than this share of the texts weigh alike; the others, at most words-a-text / RARE of them, are sent to every task.
 RARE = 1 / 200
 LEAF, HOT = 32, 4096
+#: A list of hot tiles or classes up to this many rows is sent to every task, a longer one is joined by shuffle.
+SENT = 50_000
 SIEVE = 1 << 24
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -49,7 +52,7 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, k1, k2, toks`` of ``id, text``: sorted 64-bit tokens of word and occurrence, and a 128-bit key of the whole bag.
+    """``id, k1, k2, n, vec, toks`` of ``id, text``: a 128-bit key of the whole bag, the number of words, the point, and sorted 64-bit tokens of word and occurrence.
 
     Words are runs of letters and digits, lower-cased; a text without any is left out.
     """
@@ -80,7 +83,13 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k1, k2 = np.add.reduceat(_mix(tok ^ _M1), at), np.add.reduceat(_mix(tok ^ _M2), at)
             ends = pa.array(np.concatenate([at, [len(tok)]]).astype(np.int32))
             toks = pa.ListArray.from_arrays(ends, pa.array(tok.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), toks], names=["id", "k1", "k2", "toks"])
+            # 255 stands for 255 or more: see _bound
+            vec = np.minimum(np.bincount(doc * GROUPS + (tok % np.uint64(GROUPS)).astype(np.int64), minlength=len(keep) * GROUPS), 255).astype(np.uint8)
+            vecs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(keep), [None, pa.py_buffer(vec.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(keep)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), vecs, toks],
+                names=["id", "k1", "k2", "n", "vec", "toks"],
+            )
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,53 +100,86 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _tiles(weights: tuple[np.ndarray, np.ndarray], top: float):
-    """``tile, id, bag, n, vec`` of ``id, k1, k2, toks``: a row for each band of a text; of equal bags in a batch only the least id."""
-    seeds = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """``tile, id`` of ``id, k1, k2, toks``: a row for each band of a text; of equal bags in a batch only the least id.
+
+    The hashes of a token are kept as the 16 upper bits of an exponential
+    draw's order of magnitude and fraction, so that minima keep their order and
+    equal minima of different tokens are rare; they are kept from batch to batch.
+    """
+    hashes = BANDS * ROWS
+    seeds = _mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     known, heavy = weights
 
+    def drawn(tokens: np.ndarray) -> np.ndarray:
+        w = np.full(len(tokens), top, np.float32)
+        if len(known):
+            k = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            w = np.where(known[k] == tokens, heavy[k], w).astype(np.float32)
+        out = np.empty((len(tokens), hashes), np.uint16)
+        for i in range(0, len(tokens), 1024):
+            u = (_mix(tokens[i : i + 1024, None] ^ seeds[None, :]) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25)
+            cost = -np.log(u) / w[i : i + 1024, None]
+            # 11 bits of the fraction and 32 powers of two, from 2**-26 on
+            out[i : i + 1024] = np.clip((cost.view(np.uint32) >> np.uint32(12)).astype(np.int64) - ((127 - 26) << 11), 0, 65535)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, table = np.zeros(0, np.uint64), np.zeros((0, hashes), np.uint16)
         for whole in batches:
             ids = whole.column("id").to_numpy(zero_copy_only=False)
             bag = _mix(whole.column("k1").to_numpy(zero_copy_only=False).view(np.uint64)) ^ whole.column("k2").to_numpy(zero_copy_only=False).view(np.uint64)
             order = np.lexsort((ids, bag))
             heads = np.sort(order[np.concatenate([[True], bag[order][1:] != bag[order][:-1]])]) if len(order) else order
             whole = whole.take(pa.array(heads))
-            ids, bag = ids[heads], bag[heads]
+            ids = ids[heads]
             for i in range(0, len(heads), 4096):
                 lists = whole.slice(i, 4096).column("toks")
                 offsets = _offsets(lists)
                 n = np.diff(offsets)
                 tok = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 unique, code = np.unique(tok, return_inverse=True)
-                w = np.full(len(unique), top, np.float32)
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-                    w = np.where(known[k] == unique, heavy[k], w).astype(np.float32)
-                u = (_mix(unique[:, None] ^ seeds[None, :]) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25)
-                cost = -np.log(u) / w[:, None]
-                low = np.empty((len(n), BANDS * ROWS), np.float32)
+                new = np.setdiff1d(unique, held, assume_unique=True)
+                if len(new):
+                    if len(held) + len(new) > 120_000:  # about 70 MB
+                        held, table, new = np.zeros(0, np.uint64), np.zeros((0, hashes), np.uint16), unique
+                    both, drawn_new = np.concatenate([held, new]), drawn(new)
+                    place = np.argsort(both)
+                    held, table = both[place], np.concatenate([table, drawn_new])[place]
+                row = np.searchsorted(held, unique)[code]
+                low = np.empty((len(n), hashes), np.uint16)
                 for j in range(0, len(n), 128):  # so that the gathered rows stay in the cache
                     a, b = offsets[j], offsets[min(j + 128, len(n))]
-                    low[j : j + 128] = np.minimum.reduceat(cost[code[a:b]], offsets[j : min(j + 128, len(n))] - a, axis=0)
-                low = low.view(np.uint32).astype(np.uint64)
+                    low[j : j + 128] = np.minimum.reduceat(table[row[a:b]], offsets[j : min(j + 128, len(n))] - a, axis=0)
                 key = np.zeros((len(n), BANDS), np.uint64)
                 for r in range(ROWS):
                     key = _mix(key * np.uint64(31) + low[:, r::ROWS] + np.uint64(r))
                 key = _mix(key ^ seeds[None, :BANDS])
-                doc = np.repeat(np.arange(len(n)), n)
-                # 255 stands for 255 or more: see _bound
-                vec = np.minimum(np.bincount(doc * GROUPS + (tok % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS), 255).astype(np.uint8)
-                rows = np.repeat(np.arange(len(n)), BANDS)
-                data = vec.reshape(len(n), GROUPS)[rows].tobytes()
-                vecs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(rows), [None, pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(ids[i : i + 4096][rows]), pa.array(bag[i : i + 4096][rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), vecs],
-                    names=["tile", "id", "bag", "n", "vec"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[i : i + 4096], BANDS))], names=["tile", "id"])
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by tile and id those whose tile holds another text."""
+    last: tuple | None = None  # the row before, not yet given out unless its tile is known to be shared
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "id"))
+        shared = False
+        if last is not None:
+            tile, ids, shared = np.concatenate([[last[0]], tile]), np.concatenate([[last[1]], ids]), last[2]
+        same = tile[1:] == tile[:-1]
+        keep = np.zeros(len(tile), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= shared
+        last = (tile[-1], ids[-1], bool(keep[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(tile[:-1][keep[:-1]]), pa.array(ids[:-1][keep[:-1]])], names=["tile", "id"])
+    if last is not None and last[2]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([last[0]])), pa.array(np.array([last[1]]))], names=["tile", "id"])
+
+
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sum of coordinate minima; 255 stands for 255 or more, so where both have it nothing is bounded."""
     low = np.minimum(a, b)
@@ -266,7 +308,7 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
     exactly.
     """
     bags = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.concat_ws(" ", *columns).alias("text"))
-    bags = written(bags.mapInArrow(_word_sets, "id bigint, k1 bigint, k2 bigint, toks array<bigint>"), "bags")
+    bags = written(bags.mapInArrow(_word_sets, "id bigint, k1 bigint, k2 bigint, n int, vec binary, toks array<bigint>"), "bags")
     keys = bags.select("id", "k1", "k2").distinct()
     members = keys.join(keys.groupBy("k1", "k2").agg(F.min("id").alias("class_id")), ["k1", "k2"]).select("id", "class_id").distinct()
     total = bags.count()
@@ -274,10 +316,12 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
     rows = common.select("t", F.log(F.lit(total + 1.0) / F.col("n")).alias("w")).toPandas()  # at most words-a-text / RARE rows
     tok, w = rows["t"].to_numpy(np.int64).view(np.uint64), np.maximum(rows["w"].to_numpy(np.float64), 1e-3)
     order = np.argsort(tok)
-    tiles = bags.mapInArrow(_tiles((tok[order], w[order]), float(-np.log(RARE))), "tile bigint, id bigint, bag bigint, n int, vec binary")
-    tiles = tiles.persist(StorageLevel.MEMORY_AND_DISK)
-    hot = tiles.groupBy("tile").count().where(F.col("count") > HOT).withColumn("blocks", F.ceil(F.col("count") / HOT).cast("int")).drop("count")
-    sides = tiles.join(F.broadcast(hot), "tile", "left")  # at most rows / HOT tiles
+    tiles = bags.select("id", "k1", "k2", "toks").mapInArrow(_tiles((tok[order], w[order]), float(-np.log(RARE))), "tile bigint, id bigint")
+    met = written(tiles.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_met, "tile bigint, id bigint"), "met")
+    points = bags.select("id", F.xxhash64("k1", "k2").alias("bag"), "n", "vec")
+    tiles = met.join(points, "id")
+    hot = cut(met.groupBy("tile").count().where(F.col("count") > HOT).withColumn("blocks", F.ceil(F.col("count") / HOT).cast("int")).drop("count"))
+    sides = tiles.join(F.broadcast(hot) if hot.count() <= SENT else hot, "tile", "left")
     own = F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -288,7 +332,6 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
     sides = sides.select(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("tile")).otherwise(F.xxhash64("tile", "i", "j")).alias("tile"), "id", "bag", "n", "vec", F.col("side").cast("int").alias("side"))
     sides = sides.repartition("tile").sortWithinPartitions("tile")
     near = written(sides.mapInArrow(_candidates(share), "a bigint, b bigint").distinct(), "near")
-    tiles.unpersist()
     bits = _sieve(near.select(F.explode(F.array("a", "b")).alias("id")))
     chosen = bags.select("id", F.pmod(F.xxhash64("id"), F.lit(SIEVE)).alias("bit"), "toks").mapInArrow(_sieved(bits), "id bigint, toks array<bigint>")
     left, right = chosen.select(F.col("id").alias("a"), F.col("toks").alias("ta")), chosen.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
@@ -299,10 +342,25 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b`` with ``a < b``: every pair of rows in one class or in two linked classes."""
-    m = lambda c, i: members.select(F.col("class_id").alias(c), F.col("id").alias(i))
-    across = pairs.select("a", "b").join(m("a", "x"), "a").join(m("b", "y"), "b")
-    inside = m("c", "x").join(m("c", "y"), "c").where("x < y")
+    """``a, b`` with ``a < b``: every pair of rows in one class or in two linked classes.
+
+    The result is what it is: a class of n copies makes n² / 2 rows.  A class of
+    more than :data:`HOT` rows is dealt into blocks, and its pairs are made block
+    by block, so that no task makes those of a whole class.
+    """
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
+    big = cut(sizes.select("class_id", F.ceil(F.col("size") / HOT).cast("int").alias("blocks")))
+    dealt = members.join(F.broadcast(big) if big.count() <= SENT else big, "class_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    m = lambda i, *more: dealt.select("class_id", F.col("id").alias(i), *more)
+    inside = m("x", "slot", F.explode(every).alias("other")).join(m("y", F.col("slot").alias("other"), F.explode(every).alias("slot")), ["class_id", "slot", "other"]).where("x < y")
+    ends = lambda c, i: dealt.select(F.col("class_id").alias(c), F.col("id").alias(i), F.col("slot").alias(f"{i}_slot"))
+    blocks = big.select(F.col("class_id").alias("a"), F.col("blocks").alias("na"))
+    linked = pairs.select("a", "b").join(blocks, "a", "left").join(big.select(F.col("class_id").alias("b"), F.col("blocks").alias("nb")), "b", "left")
+    linked = linked.select("a", "b", F.explode(F.sequence(F.lit(0), F.coalesce("na", F.lit(1)) - 1)).alias("x_slot"), F.coalesce("nb", F.lit(1)).alias("nb"))
+    linked = linked.select("a", "b", "x_slot", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y_slot"))
+    across = linked.join(ends("a", "x"), ["a", "x_slot"]).join(ends("b", "y"), ["b", "y_slot"])
     both = across.select("x", "y").unionByName(inside.select("x", "y"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 

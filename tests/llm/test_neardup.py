@@ -66,3 +66,28 @@ def test_tree_loses_nothing():
     low = np.minimum(vec[:, None], vec[None]).sum(-1, dtype=int)
     want = {(a, b) for a in range(len(vec)) for b in range(a) if low[a, b] >= 0.8 * max(n[a], n[b])}
     assert want <= {(max(x, y), min(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+
+
+def test_hot_tiles_and_classes_go_in_blocks(spark, monkeypatch):
+    """Sizes beyond the bounds, also where the list of hot ones is too long to be sent."""
+    from hirelode.llm import neardup
+
+    rows = [(i, "alpha beta gamma delta " * 5 + f"w{i % 40}", None, None) for i in range(120)]
+    df = spark.createDataFrame(rows, "job_id bigint, title string, job_description string, job_requirements string")
+    want = brute(rows)
+    assert len(want) == 120 * 119 // 2
+    monkeypatch.setattr(neardup, "RARE", 2)  # all words weigh alike: here each is in most of the texts
+    for sent in (50_000, 0):
+        monkeypatch.setattr(neardup, "HOT", 7 if sent else 2)
+        monkeypatch.setattr(neardup, "SENT", sent)
+        assert {tuple(r) for r in all_pairs(*near_duplicates(df, "job_id", COLS)).collect()} == want
+
+
+def test_a_tile_that_goes_on_in_the_next_batch():
+    import pyarrow as pa
+
+    from hirelode.llm.neardup import _met
+
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["tile", "id"])
+    got = [tuple(r.values()) for b in _met(iter([batch((1, 1), (2, 2)), batch((2, 3)), batch((2, 4), (3, 5)), batch(), batch((4, 6), (4, 7))])) for r in b.to_pylist()]
+    assert got == [(2, 2), (2, 3), (2, 4), (4, 6), (4, 7)] and list(_met(iter([]))) == []
