@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut, written
 
-GROUPS = 64
-BANDS, ROWS = 60, 5
+GROUPS = 256
+#: Each band takes ROWS of the HASHES: runs of neighbours first, then one of every fifth part; two bands have one in common at most.
+HASHES, ROWS, BANDS = 160, 5, 60
 #: Words in fewer than this share of the texts weigh alike; the others, at most words-a-text / RARE of them, are sent to every task.
 RARE = 1 / 200
 LEAF, HOT = 32, 4096
 #: A list of hot tiles or classes up to this many rows is sent to every task, a longer one is joined by shuffle.
 SENT = 50_000
 SIEVE = 1 << 24
+FULL = 15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,8 +53,20 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
 _WORDS = re.compile(r"[^\W_]+")
 
 
+def _packed(counts: np.ndarray) -> np.ndarray:
+    """Group counts as half bytes; FULL stands for FULL or more, see :func:`_bound`."""
+    low = np.minimum(counts, FULL).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << 4)
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    out = np.empty((data.shape[0], data.shape[1] * 2), np.uint8)
+    out[:, ::2], out[:, 1::2] = data & 15, data >> 4
+    return out
+
+
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, k1, k2, n, vec, toks`` of ``id, text``: a 128-bit key of the whole bag, the number of words, the point, and sorted 64-bit tokens of word and occurrence.
+    """``id, k1, k2, n, vec, toks`` of ``id, text``: a 128-bit key of the whole bag, the number of words, the point, and 64-bit tokens of word and occurrence.
 
     Words are runs of letters and digits, lower-cased; a text without any is left out.
     """
@@ -74,18 +88,17 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = size[keep]
             at = np.concatenate([[0], np.cumsum(size)[:-1]])
             doc = np.repeat(np.arange(len(keep)), size)
-            h = h[np.lexsort((h, doc))]
+            # one sort of numbers: the text's place in the batch (12 bits), then 52 bits of the word's hash
+            h = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12)))
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            new[1:] = h[1:] != h[:-1]
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            tok = _mix(h + (np.arange(len(h)) - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            tok = tok[np.lexsort((tok, doc))]
+            tok = _mix((h << np.uint64(12)) + (np.arange(len(h)) - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             k1, k2 = np.add.reduceat(_mix(tok ^ _M1), at), np.add.reduceat(_mix(tok ^ _M2), at)
             ends = pa.array(np.concatenate([at, [len(tok)]]).astype(np.int32))
             toks = pa.ListArray.from_arrays(ends, pa.array(tok.view(np.int64)))
-            # 255 stands for 255 or more: see _bound
-            vec = np.minimum(np.bincount(doc * GROUPS + (tok % np.uint64(GROUPS)).astype(np.int64), minlength=len(keep) * GROUPS), 255).astype(np.uint8)
-            vecs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(keep), [None, pa.py_buffer(vec.tobytes())]).cast(pa.binary())
+            vec = np.bincount(doc * GROUPS + (tok % np.uint64(GROUPS)).astype(np.int64), minlength=len(keep) * GROUPS).reshape(-1, GROUPS)
+            vecs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS // 2), len(keep), [None, pa.py_buffer(_packed(vec).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(keep)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), vecs, toks],
                 names=["id", "k1", "k2", "n", "vec", "toks"],
@@ -106,8 +119,9 @@ def _tiles(weights: tuple[np.ndarray, np.ndarray], top: float):
     draw's order of magnitude and fraction, so that minima keep their order and
     equal minima of different tokens are rare; they are kept from batch to batch.
     """
-    hashes = BANDS * ROWS
-    seeds = _mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seeds = _mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    runs = np.arange(HASHES).reshape(-1, ROWS)
+    bands = np.concatenate([runs, runs.reshape(ROWS, -1).T])[:BANDS]
     known, heavy = weights
 
     def drawn(tokens: np.ndarray) -> np.ndarray:
@@ -115,7 +129,7 @@ def _tiles(weights: tuple[np.ndarray, np.ndarray], top: float):
         if len(known):
             k = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
             w = np.where(known[k] == tokens, heavy[k], w).astype(np.float32)
-        out = np.empty((len(tokens), hashes), np.uint16)
+        out = np.empty((len(tokens), HASHES), np.uint16)
         for i in range(0, len(tokens), 1024):
             u = (_mix(tokens[i : i + 1024, None] ^ seeds[None, :]) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25)
             cost = -np.log(u) / w[i : i + 1024, None]
@@ -124,7 +138,7 @@ def _tiles(weights: tuple[np.ndarray, np.ndarray], top: float):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, table = np.zeros(0, np.uint64), np.zeros((0, hashes), np.uint16)
+        held, table = np.zeros(0, np.uint64), np.zeros((0, HASHES), np.uint16)
         for whole in batches:
             ids = whole.column("id").to_numpy(zero_copy_only=False)
             bag = _mix(whole.column("k1").to_numpy(zero_copy_only=False).view(np.uint64)) ^ whole.column("k2").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -141,18 +155,18 @@ def _tiles(weights: tuple[np.ndarray, np.ndarray], top: float):
                 new = np.setdiff1d(unique, held, assume_unique=True)
                 if len(new):
                     if len(held) + len(new) > 120_000:  # about 70 MB
-                        held, table, new = np.zeros(0, np.uint64), np.zeros((0, hashes), np.uint16), unique
+                        held, table, new = np.zeros(0, np.uint64), np.zeros((0, HASHES), np.uint16), unique
                     both, drawn_new = np.concatenate([held, new]), drawn(new)
                     place = np.argsort(both)
                     held, table = both[place], np.concatenate([table, drawn_new])[place]
                 row = np.searchsorted(held, unique)[code]
-                low = np.empty((len(n), hashes), np.uint16)
+                low = np.empty((len(n), HASHES), np.uint16)
                 for j in range(0, len(n), 128):  # so that the gathered rows stay in the cache
                     a, b = offsets[j], offsets[min(j + 128, len(n))]
                     low[j : j + 128] = np.minimum.reduceat(table[row[a:b]], offsets[j : min(j + 128, len(n))] - a, axis=0)
                 key = np.zeros((len(n), BANDS), np.uint64)
                 for r in range(ROWS):
-                    key = _mix(key * np.uint64(31) + low[:, r::ROWS] + np.uint64(r))
+                    key = _mix(key * np.uint64(31) + low[:, bands[:, r]] + np.uint64(r))
                 key = _mix(key ^ seeds[None, :BANDS])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[i : i + 4096], BANDS))], names=["tile", "id"])
 
@@ -181,10 +195,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sum of coordinate minima; 255 stands for 255 or more, so where both have it nothing is bounded."""
+    """The sum of coordinate minima; FULL stands for FULL or more, so where both have it nothing is bounded."""
     low = np.minimum(a, b)
     s = low.sum(-1, dtype=np.int64)
-    return np.where((low == 255).any(-1), np.iinfo(np.int64).max, s)
+    return np.where((low == FULL).any(-1), np.iinfo(np.int64).max, s)
 
 
 def tree_pairs(vec: np.ndarray, n: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +243,7 @@ def _candidates(share: float):
         same = (tile[order][1:] == tile[order][:-1]) & (bag[order][1:] == bag[order][:-1]) & (side[order][1:] == side[order][:-1])
         new[1:] = ~same
         order = order[new]
-        tile, ids, n, vec, side = tile[order], ids[order], n[order], vec[order], side[order]
+        tile, ids, n, vec, side = tile[order], ids[order], n[order], _unpacked(vec[order]), side[order]
         starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(tile)]]))
         left, right = [], []
@@ -260,7 +274,7 @@ def _candidates(share: float):
             if not batch.num_rows:
                 continue
             tile, ids, bag, n, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "id", "bag", "n", "side"))
-            vec = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            vec = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS // 2)
             held.append((tile, ids, bag, n, vec, side))
             if tile[-1] == held[0][0][0]:
                 continue
@@ -302,9 +316,9 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
     Nulls are empty texts; a text without a word, or without an id, has no class
     and no pair; if an id repeats, each of its texts counts.  Texts are taken
     whole.  The tiles find a pair of weighted Jaccard similarity ``j`` with
-    probability ``1 - (1 - j**ROWS)**BANDS``: 0.9998 at 2/3, which is an overlap
-    of 0.8 with equal weights and lengths, less if the differing words are
-    rarer.  It is not exact; everything that is brought together is decided
+    probability ``1 - (1 - j**ROWS)**BANDS`` about: 0.9998 at 2/3, which is an
+    overlap of 0.8 with equal weights and lengths, less if the differing words
+    are rarer.  It is not exact; everything that is brought together is decided
     exactly.
     """
     bags = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.concat_ws(" ", *columns).alias("text"))
@@ -334,6 +348,7 @@ def near_duplicates(texts: DataFrame, key: str, columns: list[str], share: float
     near = written(sides.mapInArrow(_candidates(share), "a bigint, b bigint").distinct(), "near")
     bits = _sieve(near.select(F.explode(F.array("a", "b")).alias("id")))
     chosen = bags.select("id", F.pmod(F.xxhash64("id"), F.lit(SIEVE)).alias("bit"), "toks").mapInArrow(_sieved(bits), "id bigint, toks array<bigint>")
+    chosen = written(chosen, "chosen")
     left, right = chosen.select(F.col("id").alias("a"), F.col("toks").alias("ta")), chosen.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
     pairs = near.join(left, "a").join(right, "b")
     pairs = pairs.withColumn("overlap", F.size(F.array_intersect("ta", "tb")) / F.greatest(F.size("ta"), F.size("tb")))

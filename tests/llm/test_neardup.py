@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from hirelode.llm.neardup import all_pairs, linked_members, near_duplicates, tree_pairs
+from hirelode.llm.neardup import FULL, GROUPS, _packed, _unpacked, all_pairs, linked_members, near_duplicates, tree_pairs
 
 COLS = ["title", "job_description", "job_requirements"]
 
@@ -58,9 +58,9 @@ def test_a_third_are_copies(spark):
 
 def test_tree_loses_nothing():
     rng = np.random.default_rng(1)
-    base = rng.poisson(1.5, (60, 64))
-    vec = np.minimum(np.concatenate([base, np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0)] * 2), 255).astype(np.uint8)
-    vec[5, :2] = 255
+    base = rng.poisson(0.6, (60, GROUPS))
+    vec = np.minimum(np.concatenate([base, np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0)] * 2), FULL).astype(np.uint8)
+    vec[5, :2] = FULL
     n = vec.sum(1, dtype=np.int64)
     i, j = tree_pairs(vec, n, 0.8)
     low = np.minimum(vec[:, None], vec[None]).sum(-1, dtype=int)
@@ -91,3 +91,8 @@ def test_a_tile_that_goes_on_in_the_next_batch():
     batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["tile", "id"])
     got = [tuple(r.values()) for b in _met(iter([batch((1, 1), (2, 2)), batch((2, 3)), batch((2, 4), (3, 5)), batch(), batch((4, 6), (4, 7))])) for r in b.to_pylist()]
     assert got == [(2, 2), (2, 3), (2, 4), (4, 6), (4, 7)] and list(_met(iter([]))) == []
+
+
+def test_packed_counts():
+    counts = np.random.default_rng(2).integers(0, 40, (7, GROUPS))
+    assert (_unpacked(_packed(counts)) == np.minimum(counts, FULL)).all()
