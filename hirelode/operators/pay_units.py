@@ -2,10 +2,11 @@
 
 Each figure is a number times a money unit times a period.  The columns of an
 advert are tied by identities: the amount in the text equals the amount in the
-figure columns, and both are a month's pay.  For every figure the unit
-combinations that its wording leaves open are weighed by their log residual
-against these identities, the least one is taken, and a choice that is not
-clearly better than the next is flagged.  All of it is built-in Spark SQL.
+figure columns, and both are a month's pay of the usual size.  Of all
+combinations of money unit and period, for the text and for the columns, the one
+is taken whose log residuals against these identities, with what the wording
+says of the units as a prior, are least; a choice that is not clearly better
+than the next is flagged.  All of it is built-in Spark SQL.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ PERIOD = {
 _GROUPED = r"(?!0)\d{1,3}(?:[ ., ]\d{3})+(?![\d])"
 _UNIT = r"t[ỷỉ]|triệu|trieu|tr(?!\p{L})|củ|m(?!\p{L})|million|nghìn|nghin|ngàn|ngan|k(?!\p{L})"
 AMOUNT = rf"({_GROUPED}|\d+(?:[.,]\d+)?)\s*({_UNIT})?(?:(?<=[\p{{L}}])(\d)(?!\d))?\s*(rưỡi|ruoi)?"
+#: What a unit costs, in natural logarithms, that the wording doesn't speak of, and one that it speaks against.
+UNSAID, AGAINST = 4.0, 9.0
+#: The usual size of a month's pay weighs less than another figure of the advert.
+USUAL = 0.5
+MONTH = "tháng"
 LOWEST = r"(?:^|[^\p{L}])(?:từ|tu|trên|tren|tối thiểu|toi thieu|ít nhất|it nhat|from|min|at least|above|over|>=?|≥)(?![\p{L}])|trở lên|tro len|\d\s*\+"
 HIGHEST = r"(?:^|[^\p{L}])(?:up\s*to|upto|tới|toi|đến|den|lên đến|len den|lên tới|tối đa|toi da|dưới|duoi|max|under|below|<=?|≤)(?![\p{L}])"
 
@@ -47,25 +53,33 @@ def _number(text: Column, decimal_dot: Column) -> Column:
     return F.when(F.coalesce(grouped, F.lit(False)), F.regexp_replace(text, r"[^\d]", "")).otherwise(F.regexp_replace(text, ",", ".")).try_cast("double")
 
 
+MAX_UNITS = 1000
+
+
 def _factors(units: DataFrame) -> dict[str, float]:
-    """Unit name to factor.  The unit table is fixed and small (one row a unit name)."""
-    return {r["unit_name"]: float(r["factor"]) for r in units.where("unit_name is not null and factor > 0").limit(1000).collect()}
+    """Unit name to factor; more than :data:`MAX_UNITS` units raise ``ValueError``, as all are part of the plan."""
+    rows = units.where("unit_name is not null and factor > 0").select("unit_name", "factor").limit(MAX_UNITS + 1).collect()
+    if len(rows) > MAX_UNITS:
+        raise ValueError("more units than a plan can hold")
+    return {r["unit_name"]: float(r["factor"]) for r in rows}
 
 
 def pay_candidates(jobs: DataFrame, units: DataFrame) -> DataFrame:
-    """One row per advert that states an amount: ``job_id, min_vnd, max_vnd, money_unit, period_unit, residual, is_unique, basis``.
+    """One row per advert that states an amount: ``job_id, min_vnd, max_vnd, money_unit, period_unit, residual, is_unique, by_residual, basis``.
 
     ``basis`` is ``text`` where ``job_salary`` holds a figure, else ``columns``.
-    Where the wording names no money unit, each scale of VND is a candidate; the
-    residual is the distance in logarithms to the figure columns' identity or,
-    without one, to the typical month's pay of all adverts whose unit is named
-    (their median).  ``is_unique`` is false where a second candidate comes
-    within a factor of three of the best.  Null, blank and figureless cells give
-    no row; figures of zero or less, NaN and infinite ones count as absent.
+    Units that the wording names cost nothing, those it names others for
+    :data:`AGAINST`; where it names none, a month and any scale of VND cost
+    nothing and other units :data:`UNSAID`.  To that come the distance in
+    logarithms between text and columns, under the best units of the columns,
+    and :data:`USUAL` times that to the typical month's pay of all adverts whose
+    unit is named (their median).  ``residual`` is that sum without the prior;
+    ``is_unique`` is false where another combination comes within a factor of
+    three of the best; ``by_residual`` tells that the wording alone leaves
+    several combinations open.  Null, blank and figureless cells give no row;
+    figures of zero or less, NaN and infinite ones count as absent.
     """
     f = _factors(units)
-    money = lambda u: F.coalesce(*[F.when(u == n, F.lit(v)) for n, v in f.items() if n in MONEY])
-    period = lambda u: F.coalesce(*[F.when(u == n, F.lit(v)) for n, v in f.items() if n in PERIOD], F.lit(1.0))
     good = lambda c: F.when((c > 0) & (c < 1e15), c)
     d = jobs.select(
         "job_id",
@@ -105,30 +119,52 @@ def pay_candidates(jobs: DataFrame, units: DataFrame) -> DataFrame:
             "lo": F.when(text, F.when(~both & high, 0.0).otherwise(F.col("a"))).otherwise(F.coalesce("c1", F.lit(0.0))),
             "hi": F.when(text, F.when(~both & ~high & low, 0.0).otherwise(F.col("b"))).otherwise(F.coalesce("c2", F.lit(0.0))),
             "money_named": F.when(text, F.col("money_t")).otherwise(F.col("money_n")),
-            "period_unit": F.when(text, F.col("period_t")).otherwise(F.col("period_n")),
-        }
+        },
     )
-    d = d.withColumn("size", F.when(F.col("lo") * F.col("hi") > 0, F.sqrt(F.col("lo") * F.col("hi"))).otherwise(F.col("lo") + F.col("hi")))
-    d = evaluated(d, {"per": period(F.col("period_unit"))})
-    typical = d.agg(
-        F.percentile_approx(F.when(F.col("money_named").isNotNull(), F.log(F.col("size") * money(F.col("money_named")) * F.col("per"))), 0.5, 10000).alias("typical")
+    moneys = {m: v for m, v in f.items() if m in MONEY}
+    periods = {MONTH: f.get(MONTH, 1.0)} | {p: v for p, v in f.items() if p in PERIOD}
+    size = lambda lo, hi: F.log(F.when(lo * hi > 0, F.sqrt(lo * hi)).otherwise(lo + hi))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    d = evaluated(d, {"ts": F.when(text, size(F.col("lo"), F.col("hi"))), "cs": size(zero(F.col("c1")), zero(F.col("c2")))})
+    said = lambda unit, own, free: F.when(unit.isNull(), F.lit(0.0 if free else UNSAID)).when(unit == own, 0.0).otherwise(AGAINST)
+
+    def combinations(log_size: Column, money_said: Column, period_said: Column) -> Column:
+        """Each money unit and period that the wording allows, with its prior and the figure's logarithm in VND a month."""
+        each = [
+            F.struct((said(money_said, m, m.endswith("VND")) + said(period_said, p, p == MONTH)).alias("prior"), (log_size + F.log(F.lit(v * w))).alias("v"), F.lit(m).alias("m"), F.lit(p).alias("p"))
+            for m, v in moneys.items()
+            for p, w in periods.items()
+        ]
+        return F.filter(F.array(*each), lambda x: x["prior"] < AGAINST)
+
+    d = evaluated(
+        d,
+        {
+            "in_text": F.when(F.col("ts").isNotNull(), combinations(F.col("ts"), F.col("money_t"), F.col("period_t"))),
+            "in_columns": F.when(F.col("cs").isNotNull(), combinations(F.col("cs"), F.col("money_n"), F.col("period_n"))),
+        },
     )
+    d = evaluated(d, {"own": F.coalesce("in_text", "in_columns"), "other": F.when(F.col("in_text").isNotNull(), F.col("in_columns"))})
+    sure = F.when(F.size("own") == 1, F.col("own")[0]["v"]).when(F.col("money_named").isNotNull(), F.filter("own", lambda x: x["prior"] == 0)[0]["v"])
+    typical = d.agg(F.percentile_approx(sure, 0.5, 10000).alias("typical"))
     d = d.crossJoin(F.broadcast(typical))  # one row: a scalar
-    goal = F.coalesce(F.when(text & (F.coalesce("c2", "c1") >= 1e5), F.log(F.coalesce("c2", "c1"))), F.col("typical"), F.log(F.lit(1.5e7)))
-    open_units = [m for m in ("VND", "nghìn VND", "triệu VND", "tỷ VND") if m in f]
-    combos = F.array(*[F.struct(F.abs(F.log(F.col("size") * F.lit(f[m]) * F.col("per")) - goal).alias("res"), F.lit(m).alias("m")) for m in open_units])
-    d = evaluated(d, {"combos": F.array_sort(combos)})
-    best, second = F.col("combos")[0], F.get(F.col("combos"), F.lit(1))
-    named = F.col("money_named").isNotNull()
+    usual = F.coalesce(F.col("typical"), F.log(F.lit(1.5e7)))
+    apart = lambda x: F.coalesce(F.array_min(F.transform("other", lambda y: F.abs(x["v"] - y["v"]) + y["prior"])), F.lit(0.0))
+    weighed = F.transform("own", lambda x: F.struct((apart(x) + USUAL * F.abs(x["v"] - usual)).alias("res"), x["prior"].alias("prior"), x["m"].alias("m"), x["p"].alias("p")))
+    d = evaluated(d, {"weighed": weighed})
+    d = evaluated(d, {"ranked": F.array_sort(F.transform("weighed", lambda x: F.struct((x["res"] + x["prior"]).alias("cost"), x["m"].alias("m"), x["p"].alias("p"), x["res"].alias("res"), x["prior"].alias("prior"))))})
+    best, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    factor = lambda u, of: F.coalesce(*[F.when(u == n, F.lit(v)) for n, v in of.items()])
     d = evaluated(
         d,
         {
-            "money_unit": F.when(named, F.col("money_named")).otherwise(best["m"]),
-            "residual": F.when(named, F.abs(F.log(F.col("size") * money(F.col("money_named")) * F.col("per")) - F.col("typical"))).otherwise(best["res"]),
-            "is_unique": named | F.coalesce(second["res"] - best["res"] >= F.log(F.lit(3.0)), F.lit(True)),
-        }
-    )
-    vnd = lambda c: F.round(F.col(c) * money(F.col("money_unit")) * F.col("per")).cast("bigint")
-    return d.select(
-        "job_id", vnd("lo").alias("min_vnd"), vnd("hi").alias("max_vnd"), "money_unit", F.coalesce("period_unit", F.lit("tháng")).alias("period_unit"), F.round("residual", 6).alias("residual"), "is_unique", "basis"
+            "money_unit": best["m"],
+            "period_unit": best["p"],
+            "residual": F.round(best["res"], 6),
+            "is_unique": F.coalesce(second["cost"] - best["cost"] >= F.log(F.lit(3.0)), F.lit(True)),
+            "by_residual": F.size(F.filter("ranked", lambda x: x["prior"] <= best["prior"])) > 1,
+        },
     )
+    in_vnd = factor(F.col("money_unit"), moneys) * factor(F.col("period_unit"), periods)
+    vnd = lambda c: F.round(F.col(c) * in_vnd).cast("bigint")
+    return d.select("job_id", vnd("lo").alias("min_vnd"), vnd("hi").alias("max_vnd"), "money_unit", "period_unit", "residual", "is_unique", "by_residual", "basis")

@@ -43,3 +43,30 @@ def test_nothing_stated_and_empty(spark):
     assert run(spark, [(None, None, None, None), ("", float("nan"), 0.0, None), ("Negotiable", None, -5.0, "NET")]) == {}
     assert run(spark, []) == {}
     assert run(spark, [("1" * 5000, None, None, None)]) == {}
+
+
+def units_of(spark, rows):
+    jobs = spark.createDataFrame([(i, *r, "x", "y") for i, r in enumerate(rows)], JOB)
+    units = spark.createDataFrame(UNITS, "unit_name string, unit_kind string, factor double")
+    return {r.job_id: r for r in pay_candidates(jobs, units).collect()}
+
+
+def test_the_columns_tell_the_unit_of_the_text(spark):
+    """Text and columns are one amount: the combination that makes them equal is taken, whatever is usual."""
+    usual = [("15 triệu", 15e6, 15e6, None)] * 5
+    got = units_of(spark, [*usual, ("950", None, 950e6, "VND"), ("950", None, 950e3, "VND"), ("12", 12.0, None, "ĐVT 1.000đ/h"), ("396 triệu/năm", None, 3.3e6, None)])
+    assert (got[5].money_unit, got[5].max_vnd, got[5].by_residual) == ("triệu VND", 950_000_000, True)
+    assert (got[6].money_unit, got[6].max_vnd) == ("nghìn VND", 950_000)
+    assert (got[8].max_vnd, got[8].period_unit, got[8].by_residual) == (33_000_000, "năm", False) and got[8].residual > 2  # the wording outweighs a slip of the columns
+    assert got[0].residual == 0.0 and got[0].is_unique and not got[0].by_residual
+
+
+def test_two_scales_as_likely_are_flagged(spark):
+    got = units_of(spark, [("15 triệu", None, None, None)] * 5 + [(None, 475.0, 475.0, None), (None, 15.0, None, None)])
+    assert not got[5].is_unique and got[5].by_residual and got[6].is_unique and got[6].money_unit == "triệu VND"
+
+
+def test_too_many_units(spark):
+    units = spark.createDataFrame([(f"u{i}", 1.0) for i in range(1001)], "unit_name string, factor double")
+    with pytest.raises(ValueError):
+        pay_candidates(spark.createDataFrame([], JOB), units)
