@@ -3,14 +3,17 @@
 Distinct cells are split into tokens; each distinct token is joined to the
 reference vocabulary by edit distance (through shared deletion variants, an
 equi-join); the corrected tokens of a cell are combined into soft TF-IDF scores
-of whole entries over windows of neighbouring tokens; the best entry is taken,
-or none.  Phrases that are known and not in the list compete as entries of
-their own, so that a value close to an entry but meaning another place stays
-unmatched.
+of entries over windows of neighbouring tokens, cosines with the norms of both
+sides; the best entry is taken, or none.  An entry of which tokens are missing
+counts if those that stand there are spelled right.  Phrases that are known and
+not in the list compete as entries of their own, so that a value close to an
+entry but meaning another place stays unmatched; they and the other names of
+entries are a table that the caller may give.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -116,15 +119,24 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, "w", ""), "[sfrxj]$", "")
 
 
-def entry_tokens(spark: SparkSession, entries: Sequence[tuple[int, str]], known: Vocabulary) -> DataFrame:
+def vocabulary_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
+    """``phrase, entry``: other names of entries, and phrases that mean none (a null entry)."""
+    rows = [(a, name) for name, names in known.aliases.items() for a in names] + [(o, None) for o in known.outside]
+    return spark.createDataFrame(rows, "phrase string, entry string")
+
+
+def entry_tokens(spark: SparkSession, entries: Sequence[tuple[int, str]], names: Sequence[tuple[str, str | None]], glue: bool) -> DataFrame:
     """``entry_no, ref_id, n, k, token, weight``: the tokens of each phrase with their inverse document frequencies."""
     rows = [(rid, name, False) for rid, name in entries if name and name.strip()]
-    rows += [(rid, a, True) for rid, name, _ in rows for a in known.aliases.get(name, ())]
-    rows += [(0, o, False) for o in known.outside]
+    ids: dict[str, list[int]] = {}
+    for rid, name, _ in rows:
+        ids.setdefault(name, []).append(rid)
+    rows += [(rid, phrase, True) for phrase, entry in names if entry is not None for rid in ids.get(entry, ())]
+    rows += [(0, phrase, False) for phrase, entry in names if entry is None]
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "entry_no int, ref_id int, phrase string, is_alias boolean")
     d = d.withColumn("toks", F.array_distinct(F.array(_tokens(F.col("phrase")), F.array(F.array_join(_tokens(F.col("phrase")), "")))))
     d = d.select("entry_no", "ref_id", "is_alias", F.posexplode("toks").alias("form", "toks"))
-    d = d.where(F.col("form") == 0) if not known.glue else d.where((F.col("form") == 0) | (F.length(F.col("toks")[0]) >= 5))
+    d = d.where(F.col("form") == 0) if not glue else d.where((F.col("form") == 0) | (F.length(F.col("toks")[0]) >= 5))
     d = d.select("entry_no", "ref_id", "is_alias", "form", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "token"))
     idf = d.where("form = 0").groupBy("token").agg(F.count_distinct("ref_id").alias("df"))
     total = len({r for r, _, _ in rows}) or 1
@@ -160,33 +172,45 @@ def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame, initials: bool) ->
     return out.unionByName(single).groupBy("token", "ref_token").agg(F.max("sim").alias("sim"))
 
 
-def map_values(cells: DataFrame, value: str, entries: DataFrame, entry_id: str, entry_text: str, known: Vocabulary) -> DataFrame:
+def map_values(cells: DataFrame, value: str, entries: DataFrame, entry_id: str, entry_text: str, known: Vocabulary, names: DataFrame | None = None) -> DataFrame:
     """``value, ref_id, score``: one row per distinct string of ``cells.value``; ``ref_id`` 0 where nothing fits.
 
     Null, blank and ``nan`` values give no row.  Of windows with equal scores
     the one nearer the end counts (a finer place stands before its city), then
     the longer phrase, then the lower ``ref_id``.  ``entries`` must be a list of
-    bounded size: more than 100,000 rows raise ``ValueError``.  With no entries
-    every value is 0.
+    bounded size, and so must ``names`` (``phrase, entry``, taken in the place of
+    the phrases of ``known``): more than 100,000 rows raise ``ValueError``.  With
+    no entries every value is 0.
     """
     spark = cells.sparkSession
     listed = [(int(r[0]), r[1]) for r in entries.select(entry_id, entry_text).where(F.col(entry_text).isNotNull()).limit(100_001).collect()]
-    if len(listed) > 100_000:
+    if names is None:
+        names = vocabulary_table(spark, known)
+    named = [(r[0], r[1]) for r in names.where("phrase is not null and trim(phrase) <> ''").select("phrase", "entry").limit(100_001).collect()]
+    if len(listed) > 100_000 or len(named) > 100_000:
         raise ValueError("the reference list is beyond the size that is sent to every task")
-    phrases = entry_tokens(spark, listed, known)
+    phrases = entry_tokens(spark, listed, named, known.glue)
+    unknown = math.log(len({r for r, _ in listed}) + 1.0)
     base = cells.select(F.col(value).cast("string").alias("v")).where("v is not null and trim(v) <> '' and lower(trim(v)) <> 'nan'").distinct()
     base = evaluated(base, {"toks": _tokens(F.col("v"))})
     at = base.select("v", F.size("toks").alias("len"), F.posexplode("toks").alias("pos", "token"))
     fixed = repaired_tokens(at, phrases, known.initials)
     hits = at.join(fixed, "token")
     hits = hits.join(F.broadcast(phrases.withColumnRenamed("token", "ref_token")), "ref_token")  # bounded above
-    weights = phrases.groupBy("entry_no", "form").agg(F.sum("weight").alias("all_weight"), F.sum(F.length("token")).alias("letters"))
-    hits = hits.withColumn("start", F.col("pos") - F.col("k")).where("start >= 0 and start + n <= len")
-    per = hits.groupBy("v", "entry_no", "ref_id", "is_alias", "form", "n", "start").agg(F.sum(F.col("weight") * F.col("sim")).alias("got"), F.count("*").alias("m"), F.max("sim").alias("best_sim"))
+    weights = phrases.groupBy("entry_no", "form").agg(F.sum("weight").alias("norm"), F.sum(F.length("token")).alias("letters"))
+    hits = hits.withColumn("start", F.col("pos") - F.col("k"))
+    per = hits.groupBy("v", "len", "entry_no", "ref_id", "is_alias", "form", "n", "start").agg(
+        F.sum(F.col("weight") * F.col("sim")).alias("got"), F.sum("weight").alias("own"), F.count("*").alias("m"), F.max("sim").alias("best_sim"), F.sum(F.length("ref_token")).alias("seen")
+    )
     per = per.join(F.broadcast(weights), ["entry_no", "form"])
-    per = per.withColumn("score", F.round(F.col("got") / F.col("all_weight") - F.when(F.col("form") == 1, 0.02).otherwise(0.0), 6))
-    per = per.where(F.col("m") == F.col("n"))
-    per = per.where((F.col("best_sim") > 0.695) & ((F.col("letters") > 3) | (F.col("score") >= 0.97)))
+    # cosine of vectors of roots of idf: both norms, the entry's and that of the window's tokens, of which those that match nothing weigh most
+    inside = F.least("n", "len")
+    window = F.col("own") + (inside - F.col("m")) * F.lit(unknown)
+    cosine = F.col("got") / F.sqrt(F.col("norm") * window)
+    per = per.withColumn("score", F.round(cosine - F.when(F.col("form") == 1, 0.02).otherwise(0.0), 6))
+    whole = F.col("m") == F.col("n")
+    per = per.where(whole | ((F.col("got") >= 0.97 * F.col("own")) & (F.col("seen") > 2) & ~F.col("is_alias") & (F.col("ref_id") > 0)))
+    per = per.where((F.col("best_sim") > 0.695) & (~whole | (F.col("letters") > 3) | (F.col("score") >= 0.97)))
     per = per.withColumn("score", F.when(F.col("is_alias") & (F.col("score") < 0.95), F.col("score") - 0.15).otherwise(F.col("score"))).where(F.col("score") >= known.threshold)
     # exactness first, then how much text the phrase explains
     rank = F.struct(

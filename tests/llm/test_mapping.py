@@ -1,3 +1,5 @@
+import pytest
+
 from hirelode.llm.mapping import LEVELS, PLACES, Vocabulary, map_values, mapped_cells
 from hirelode.sources.tables import table
 
@@ -33,3 +35,34 @@ def test_whole_table(spark, data):
     jobs, city, edu = (table(spark, data, t) for t in ("jobs", "city_ref", "education_ref"))
     got = mapped_cells(jobs, city, edu)
     assert got.count() == got.select("job_id", "field_name").distinct().count() > 0
+
+
+def test_names_may_be_a_table(spark):
+    cells = spark.createDataFrame([("HCM",), ("Phnom X",), ("Ha Noi",)], "v string")
+    ref = spark.createDataFrame(CITIES, "ref_id int, city string")
+    names = spark.createDataFrame([("HCM", "Hồ Chí Minh"), ("phnom x", None), (None, "Hà Nội"), ("", None)], "phrase string, entry string")
+    assert {r.v: r.ref_id for r in map_values(cells, "v", ref, "ref_id", "city", PLACES, names).collect()} == {"HCM": 3, "Phnom X": 0, "Ha Noi": 1}
+    with pytest.raises(ValueError):
+        map_values(cells, "v", ref, "ref_id", "city", PLACES, spark.range(100_001).selectExpr("cast(id as string) as phrase", "'x' as entry"))
+
+
+def test_part_of_an_entry(spark):
+    """Both norms: what is missing and what stands beside count against a score."""
+    none = Vocabulary(threshold=0.55)
+    got = mapped(spark, ["Vũng Tàu", "Bà Rịa", "Vũng", "vũng taau quê"], none)
+    assert (got["Vũng Tàu"], got["Bà Rịa"], got["Vũng"]) == (5, 5, 0)
+
+
+def test_long_tokens_are_looked_up_like_others(spark):
+    long = "Llanfairpwllgwyngyllgogerychwyrndrobwll"
+    assert mapped(spark, [long[:-2], long[:5] + long[6:], long + "abc", "z" * 30000], Vocabulary(), [(7, long)]) == {long[:-2]: 7, long[:5] + long[6:]: 7, long + "abc": 0, "z" * 30000: 0}
+
+
+def test_locations_without_any_list_beside_the_entries(spark, data):
+    """Against the result with all lists."""
+    jobs, city = (table(spark, f"{data}/../sf0.01", t) for t in ("jobs", "city_ref"))
+    full = {r.job_location: r.ref_id for r in map_values(jobs, "job_location", city, "ref_id", "city", PLACES).collect()}
+    bare = {r.job_location: r.ref_id for r in map_values(jobs, "job_location", city, "ref_id", "city", Vocabulary(threshold=PLACES.threshold)).collect()}
+    n = {r.job_location: r["count"] for r in jobs.groupBy("job_location").count().collect()}
+    meant = [v for v, r in full.items() if r]
+    assert sum(n[v] for v in meant if bare[v] == full[v]) >= 0.95 * sum(n[v] for v in meant)
