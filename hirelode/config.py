@@ -45,6 +45,12 @@ class MatchConfig:
     fallback_start: float = 5.0
     fallback_step: float = 0.12
     recrawl_days: int = 7
+    overview_least: int = 50
+    page_least: int = 5000
+    page_size: int = 20
+    page_size_most: int = 100
+    response_cap: int = 50
+    log_kept: int = 100
     quota: int = 50
     disagreement: int = 4
     sibling_cap: int = 5

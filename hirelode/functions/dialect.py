@@ -15,6 +15,9 @@ from .columns import ACCENTED, BASE
 class Spark:
     """Text for Spark SQL."""
 
+    #: Starts a pattern that ignores case, accented letters included.
+    any_case = "(?iu)"
+
     @staticmethod
     def lit(s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -68,6 +71,8 @@ class Spark:
 class Check(Spark):
     """Text for DuckDB."""
 
+    any_case = "(?i)"
+
     @staticmethod
     def lit(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"

@@ -41,6 +41,43 @@ def section(q: Spark, x: str, header: str) -> str:
     return q.repl(body, r"^\s+|\s+$")
 
 
+def overview_tags(q: Spark, x: str, header: str, ends: str) -> str:
+    """The lines below ``header`` in an overview up to one of ``ends``, joined by commas."""
+    body = q.ext(f"coalesce({x}, '')", rf"(?s){header}[:\s]*\n(.*?)(?:{ends}|\z)", 1)
+    lines = q.filter(q.map(q.split(body, r"\n"), "l", "trim(l)"), "l", "l <> ''")
+    return q.join(lines, ", ")
+
+
+def requirement_tags(q: Spark, x: str) -> str:
+    return overview_tags(q, x, "Chuyên môn", r"\n===|\n\n===")
+
+
+def specialisations(q: Spark, x: str) -> str:
+    return overview_tags(q, x, "Yêu cầu", r"\nQuyền lợi:|\nChuyên môn:|\n===")
+
+
+#: Elements one of which every page of an advert has, as tag and class.
+PAGE_MARKERS = [
+    ("div", "job-detail__body"), ("div", "job-description"), ("div", "job-detail__info--title"), ("h1", "job-detail__info--title"), ("h1", "job-title"),
+    ("div", "content-tab"), ("div", "brand-body"), ("div", "box-info"), ("h2", "title"),
+]
+
+
+def blocked_page(q: Spark, x: str, least: int) -> str:
+    """Whether a page is shorter than ``least`` or has none of the elements of an advert."""
+    t = f"coalesce({x}, '')"
+    found = " OR ".join(q.match(t, rf"<{tag}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"']") for tag, name in PAGE_MARKERS)
+    return f"(length({t}) < {least} OR NOT ({found}))"
+
+
+def quality_gate(q: Spark, overview_least: int, details_least: int = 50) -> str:
+    """Whether a raw record is complete: title, overview with experience, details, description and requirements."""
+    described = f"length({section(q, 'job_details', SECTIONS['job_description'])})"
+    asked = f"length({section(q, 'job_details', SECTIONS['job_requirements'])})"
+    stated = q.match(f"coalesce(overview, {q.lit('')})", r"Kinh nghiệm[:\s]*\n?\s*[^\n]")
+    return f"(trim(coalesce(title, '')) <> '' AND length(coalesce(overview, '')) >= {overview_least} AND length(coalesce(job_details, '')) >= {details_least} AND {stated} AND {described} >= 30 AND {asked} >= 10)"
+
+
 def overview_experience(q: Spark, x: str) -> str:
     return f"trim({q.ext(f'coalesce({x}, {q.lit(str())})', r'Kinh nghiệm[:\s]*([^\n]+)')})"
 

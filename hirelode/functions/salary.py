@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .dialect import Spark, has_any
 
+#: Patterns of figures, and what an hour, a day and a dollar are worth.
 NUMBER = r"(\d+(?:\.\d+)?)"
 SPAN = r"(\d+(?:\.\d+)?)\s*[-–—]\s*(\d+(?:\.\d+)?)"
 HOURS, DAYS, USD = 160, 22, 24000
@@ -66,12 +67,15 @@ def compare(q: Spark, want_kind: str, want_min: str, want_max: str, kind_: str,
     )
 
 
+#: Amounts in millions.
 MILLIONS = r"(\d+(?:[.,]\d+)?)\s*(?:triệu|tr(?:[^\p{L}\p{N}_]|$))"
 MILLION_SPAN = r"(\d+(?:[.,]\d+)?)\s*[-~]\s*(\d+(?:[.,]\d+)?)\s*(?:triệu|tr(?:[^\p{L}\p{N}_]|$))"
 
 
-def stated_millions(q: Spark, x: str) -> str:
-    """The amounts in VND a text states in millions: both ends of a span, or else all single ones."""
+def stated_millions(q: Spark, x: str, title: str | None = None) -> str:
+    """The amounts in VND a text states in millions: both ends of a span, or else all single ones; without any those of ``title``."""
+    if title is not None:
+        return f"CASE WHEN {q.size(stated_millions(q, x))} > 0 THEN {stated_millions(q, x)} ELSE {stated_millions(q, title)} END"
     t = f"lower(coalesce({x}, ''))"
     num = lambda s: q.double(f"replace({s}, ',', '.')") + " * 1000000"
     both = f"array({num(q.ext(t, MILLION_SPAN, 1))}, {num(q.ext(t, MILLION_SPAN, 2))})" if type(q) is Spark else f"[{num(q.ext(t, MILLION_SPAN, 1))}, {num(q.ext(t, MILLION_SPAN, 2))}]"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,17 +18,78 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(folded(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
 
 
-def city_sets(df: DataFrame, key: str, place: str, cities: DataFrame, city_id: str, city: str) -> DataFrame:
+#: Other names of cities, folded.
+CITY_ALIASES = {
+    "Hà Nội": ["hanoi", "hn"], "Hải Phòng": ["haiphong", "hp"], "Quảng Ninh": ["ha long", "halong"], "Lào Cai": ["sapa"], "Phú Thọ": ["viet tri"], "Hà Nam": ["phu ly"],
+    "Đà Nẵng": ["danang", "dn"], "Thừa Thiên Huế": ["hue"], "Quảng Nam": ["hoi an"], "Bình Định": ["quy nhon"], "Phú Yên": ["tuy hoa"], "Khánh Hòa": ["nha trang"],
+    "Ninh Thuận": ["phan rang"], "Bình Thuận": ["phan thiet"], "Kon Tum": ["kontum"], "Gia Lai": ["pleiku"], "Đắk Lắk": ["buon ma thuot"], "Đắk Nông": ["gia nghia"],
+    "Quảng Bình": ["dong hoi"], "Quảng Trị": ["dong ha"], "Nghệ An": ["vinh"], "Hồ Chí Minh": ["hcm", "sai gon", "saigon", "tp hcm"], "Bình Dương": ["thu dau mot"],
+    "Đồng Nai": ["bien hoa"], "Bà Rịa - Vũng Tàu": ["vung tau", "ba ria"], "Cần Thơ": ["cantho"], "Long An": ["tan an"], "Tiền Giang": ["my tho"], "Đồng Tháp": ["cao lanh"],
+    "An Giang": ["long xuyen", "chau doc"], "Kiên Giang": ["rach gia", "phu quoc"], "Hậu Giang": ["vi thanh"], "Bình Phước": ["dong xoai"],
+}
+#: Words before or after a city's name that make it a street, ward or building.
+STREET_BEFORE = ["phuong", "quan", "duong", "pho", "thon", "ap", "xa", "huyen", "thi tran", "khu pho", "to", "ngo", "hem"]
+STREET_AFTER = ["phu", "plaza", "tower", "building", "center", "centre", "street", "road", "avenue"]
+MAX_NAMES = 100_000
+
+
+def alias_table(spark: SparkSession) -> DataFrame:
+    """``city, alias``: the usual other names."""
+    return spark.createDataFrame([(c, a) for c, names in CITY_ALIASES.items() for a in names], "city string, alias string")
+
+
+def city_sets(df: DataFrame, key: str, place: str, cities: DataFrame, city_id: str, city: str, aliases: DataFrame | None = None) -> DataFrame:
     """``key, cities``: the sorted ids of the cities whose names stand in ``place``, accents and case aside; empty if none.
 
-    Runs of one to four words meet the names in an equi-join instead of a scan
-    of all names per row.
+    A name counts by its first occurrence, and not if that is part of a street,
+    ward or building by one of :data:`STREET_BEFORE` or :data:`STREET_AFTER`
+    within 20 letters; ``aliases`` (``city, alias``) are other names, the usual
+    ones by default.  Runs of one to four words meet the names in an equi-join
+    instead of a scan of all names per row; more than :data:`MAX_NAMES` names
+    raise ``ValueError``.  Rows without a key are left out.
+    """
+    aliases = alias_table(df.sparkSession) if aliases is None else aliases
+    name = lambda c: F.array_join(_words(F.col(c)), " ")
+    own = cities.select(F.col(city_id).alias("city_id"), F.col(city).alias("c"))
+    names = own.select("city_id", name("c").alias("name")).unionByName(own.join(aliases.select(F.col("city").alias("c"), "alias"), "c").select("city_id", name("alias").alias("name")))
+    names = names.where("name <> ''").distinct()
+    if names.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        raise ValueError("more names of cities than are sent to every task")
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), _words(F.col(place)).alias("w"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("name"), i.alias("i"), n.alias("n")))
+    none = F.array().cast("array<struct<name:string,i:int,n:int>>")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size("w") >= n, at(n)).otherwise(none)))
+    met = rows.select("k", "w", F.inline(runs)).join(F.broadcast(names), "name")
+    first = F.array_position(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")), F.col("name"))
+    met = met.where(F.col("i") == first)
+    before = F.trim(F.right(F.array_join(F.slice("w", F.lit(1), F.col("i") - 1), " "), F.lit(20)))
+    after = F.substring(F.array_join(F.slice("w", F.col("i") + F.col("n"), F.size("w")), " "), 1, 20)
+    is_street = reduce(lambda a, b: a | b, [before.endswith(x) for x in STREET_BEFORE] + [after.startswith(x) for x in STREET_AFTER])
+    hits = met.where(~is_street).groupBy("k").agg(F.sort_array(F.collect_set("city_id")).alias("cities"))
+    every = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+    return every.join(hits, "k", "left").select(F.col("k").alias(key), F.coalesce("cities", F.array().cast("array<int>")).alias("cities"))
+
+
+def nearest_branch(pairs: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
+    """``query, doc, km, score``: the nearest of an advert's branches to the profile, by distance.
+
+    ``pairs``: ``query, doc, point`` (a struct ``lat, lng``), ``branches`` (an
+    array of such), ``has_address``, ``city_score``.  Without an address the
+    score is 5; without a point on either side it is that of the cities.  Points
+    with a null count as missing.
     """
-    names = cities.select(F.col(city_id).alias("city_id"), F.array_join(_words(F.col(city)), " ").alias("name")).where("name <> ''")
-    rows = df.select(F.col(key).alias("k"), _words(F.col(place)).alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    hits = rows.select("k", F.explode(F.array_distinct(runs)).alias("name")).join(F.broadcast(names), "name").groupBy("k").agg(F.sort_array(F.collect_set("city_id")).alias("cities"))  # names: a short list
-    return df.select(F.col(key).alias("k")).distinct().join(hits, "k", "left").select(F.col("k").alias(key), F.coalesce("cities", F.array().cast("array<int>")).alias("cities"))
+    known = F.filter(F.coalesce("branches", F.array().cast("array<struct<lat:double,lng:double>>")), lambda b: b["lat"].isNotNull() & b["lng"].isNotNull())
+    at = F.when(F.col("point.lat").isNotNull() & F.col("point.lng").isNotNull(), F.col("point"))
+    rad = lambda x: F.radians(x)
+
+    def km(b: Column) -> Column:
+        a = F.pow(F.sin((rad(b["lat"]) - rad(at["lat"])) / 2), 2) + F.cos(rad(at["lat"])) * F.cos(rad(b["lat"])) * F.pow(F.sin((rad(b["lng"]) - rad(at["lng"])) / 2), 2)
+        return 2 * geo.EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+    d = pairs.withColumn("_km", F.when(F.col("has_address") & at.isNotNull(), F.array_min(F.transform(known, km))))
+    near = F.round(F.greatest(F.lit(cfg.location_floor), 10 * F.exp(-F.col("_km") / cfg.distance_km)), 1)
+    score = F.when(~F.coalesce("has_address", F.lit(False)), F.lit(cfg.unknown_city)).when(F.col("_km").isNotNull(), near).otherwise(F.col("city_score"))
+    return d.select("query", "doc", F.round("_km", 3).alias("km"), score.alias("score"))
 
 
 YEARS = {"no_requirement": 0, "under_1": 0, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "over_5": 6, "all": 0}

@@ -1,14 +1,16 @@
 """Lexical and vector retrieval for a table of queries at once, and their fusion.
 
-The index is three ordinary tables: ``postings(field, term, doc, tf)``,
-``lengths(field, doc, dl)`` and ``stats(field, n, avgdl)``; document frequencies
-come from the postings.  Statistics are those of all documents; filters apply
-to what is ranked.
+The index is three stored tables: ``postings(field, term, doc, tf, dl, tag)``,
+``stats(field, n, avgdl)`` and ``frequencies(field, term, df)``.  Statistics are
+those of all documents; filters apply to what is ranked, and they do so within
+the join with the postings: a document's ``tag`` stands for its values in the
+filtered fields, and a query says which tags it allows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,19 +28,39 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(1))
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``field, doc, term, tf, dl``: one row per field, document and term, from one scan.
+class Index(NamedTuple):
+    postings: DataFrame
+    stats: DataFrame
+    frequencies: DataFrame
+
+
+def postings(docs: DataFrame, key: str, fields: list[str], tag: str | None = None) -> DataFrame:
+    """``field, doc, term, tf, dl, tag``: one row per field, document and term, from one scan.
 
     A field without a term has no row.
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields])
-    rows = docs.select(F.col(key).alias("doc"), F.inline(pairs)).select("field", "doc", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return rows.groupBy("field", "doc", "term", "dl").agg(F.count("*").alias("tf"))
+    mark = (F.col(tag) if tag else F.lit(0)).cast("int").alias("tag")
+    rows = docs.select(F.col(key).alias("doc"), mark, F.inline(pairs)).select("field", "doc", "tag", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return rows.groupBy("field", "doc", "term", "dl", "tag").agg(F.count("*").alias("tf"))
+
+
+def built_index(docs: DataFrame, key: str, fields: list[str], tag: str | None = None) -> Index:
+    """The index as stored tables: the documents are read and parted into terms once, whatever is asked of them later."""
+    rows = written(postings(docs, key, fields, tag), "postings")
+    lengths = rows.select("field", "doc", "dl").distinct()
+    stats = written(lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
+    return Index(rows, stats, written(rows.groupBy("field", "term").agg(F.count("*").alias("df")), "frequencies"))
+
+
+_INDEXES: dict[tuple, Index] = {}
 
 
-def built_index(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The postings as a stored table: the documents are read and parted into terms once, whatever is asked of the index later."""
-    return written(postings(docs, key, fields), "postings")
+def kept_index(version: tuple, make: Callable[[], Index]) -> Index:
+    """The index of a version of a table (its files and their times), built when it is first asked for."""
+    if version not in _INDEXES:
+        _INDEXES[version] = make()
+    return _INDEXES[version]
 
 
 def query_terms(queries: DataFrame, key: str, text: str, cfg: MatchConfig = CONFIG) -> DataFrame:
@@ -48,16 +70,17 @@ def query_terms(queries: DataFrame, key: str, text: str, cfg: MatchConfig = CONF
     return queries.select(F.col(key).alias("query"), terms.alias("terms")).select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def bm25(index: DataFrame, terms: DataFrame, msm: float, cfg: MatchConfig = CONFIG) -> DataFrame:
+def bm25(index: Index, terms: DataFrame, msm: float, cfg: MatchConfig = CONFIG) -> DataFrame:
     """``query, doc, field, score, matched``: BM25 per field of the documents with enough of the query's terms.
 
     Enough is the part ``msm`` of the query's terms, rounded down, at least one.
+    With a column ``allow`` (an array of tags, null for all) in ``terms`` only
+    documents with these tags are scored.
     """
-    per_doc = index.select("field", "doc", "dl").distinct()
-    stats = per_doc.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row a field
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("field", "term").agg(F.count("*").alias("df"))
-    hits = asked.join(df, ["field", "term"]).join(F.broadcast(stats), "field").join(terms, "term")
+    hits = index.postings.join(terms, "term")
+    if "allow" in terms.columns:
+        hits = hits.where(F.col("allow").isNull() | F.array_contains("allow", F.col("tag"))).drop("allow")
+    hits = hits.join(index.frequencies, ["field", "term"]).join(F.broadcast(index.stats), "field")  # a row a field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
     out = hits.groupBy("query", "doc", "field").agg(F.sum(idf * F.col("tf") / norm).alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
@@ -77,24 +100,21 @@ def top_k(scores: DataFrame, k: int, by: str = "query", item: str = "doc", place
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, qtext: str, boosts: Mapping[str, float], msm: float, k: int, keep: DataFrame | None = None, cfg: MatchConfig = CONFIG) -> DataFrame:
-    """``query, doc, score, rank`` by the best boosted field.  ``keep`` (``query, doc`` or ``doc``): the documents that may be ranked."""
-    fields = [f for f in boosts if f in docs.columns]
-    scores = best_fields(bm25(built_index(docs, key, fields), query_terms(queries, qkey, qtext, cfg), msm, cfg), boosts)
-    if keep is not None:
-        scores = scores.join(keep, [c for c in ("query", "doc") if c in keep.columns], "left_semi")
-    return top_k(scores, k)
+def search(index: Index, terms: DataFrame, boosts: Mapping[str, float], msm: float, k: int, cfg: MatchConfig = CONFIG) -> DataFrame:
+    """``query, doc, score, rank`` by the best boosted field, of the fields that the index has."""
+    wanted = index._replace(postings=index.postings.where(F.col("field").isin(list(boosts))))
+    return top_k(best_fields(bm25(wanted, terms, msm, cfg), boosts), k)
 
 
 def _blocks(vectors: DataFrame, size: int, names: tuple[str, str, str]) -> DataFrame:
-    """Vectors packed into blocks of about ``size`` rows (``_ids``, ``_vecs``, ``_tags`` with a prefix); a block is dealt by hash, whatever the ids are."""
+    """Vectors packed into blocks of up to ``size`` rows, in the order in which they lie in their partition."""
     ids, vecs, tags = names
     n = F.lit(size)
     numbered = vectors.withColumn("_b", F.floor(F.monotonically_increasing_id() / n))
-    return numbered.groupBy("_b").agg(F.collect_list("id").alias(ids), F.collect_list("vec").alias(vecs), F.collect_list("tag").alias(tags)).drop("_b")  # size rows at most
+    return numbered.groupBy("_b").agg(F.collect_list("id").alias(ids), F.collect_list("vec").alias(vecs), F.collect_list(F.struct("tag")).alias("_t")).drop("_b").withColumn(tags, F.col("_t.tag")).drop("_t")  # size rows at most
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False, same_table: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False, same_table: bool = True, allow: bool = False) -> DataFrame:
     """``query, doc, score, rank``: the exact ``k`` nearest by cosine, ``score = (1 + cosine) / 2``.
 
     Both tables hold ``id, vec, tag``; blocks of queries meet blocks of the
@@ -102,7 +122,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = Fals
     same table a vector is not its own neighbour.
     A null vector, or one with a null, is left out; a zero vector stands for a
     constant one.  ``same_tag``: only within equal tags (a filter before the
-    search).
+    search); ``allow``: a query's ``tag`` is the array of the tags it allows,
+    null for all.
     """
     good = lambda d: d.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null)")
     q, c = _blocks(good(queries), 256, ("q_ids", "q_vecs", "q_tags")), _blocks(good(corpus), 1024, ("c_ids", "c_vecs", "c_tags"))
@@ -121,6 +142,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = Fals
                 qi, ci = np.asarray(r.q_ids), np.asarray(r.c_ids)
                 if same_table:
                     cos[qi[:, None] == ci[None, :]] = -np.inf
+                if allow:
+                    tags, at_tag = np.unique(np.asarray(r.c_tags), return_inverse=True)
+                    fits = np.array([np.ones(len(tags), bool) if t is None else np.isin(tags, np.asarray(t)) for t in r.q_tags])
+                    cos[~fits[:, at_tag]] = -np.inf
                 if same_tag:
                     cos[np.asarray(r.q_tags)[:, None] != np.asarray(r.c_tags)[None, :]] = -np.inf
                 m = min(k + 8, cos.shape[1])

@@ -12,7 +12,8 @@ from ..functions import geo, records, salary
 from ..functions.dialect import CHECK, SPARK, Spark, column, fold
 from ..operators import matching as m
 from ..operators import retrieval as r
-from ..sources.tables import table
+from ..operators.encoding import retrieval_text
+from ..sources.tables import cut, table, version
 
 AS_OF = "2026-03-01"
 LEXICAL = {f: b for f, b in CONFIG.boosts.items() if f not in ("requirements_tags", "specializations")}
@@ -45,7 +46,7 @@ qt as (select query, len(terms) as n_terms, unnest(terms) as term from q0)"""
 
 
 _CV_TEXT = "select cv_id as query, skills as txt from cv_profiles"
-_SCORE = f"""per_field as (
+_SCORE = f"""per_field as materialized (
   select query, doc, field, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + {CONFIG.k1}::double * (1 - {CONFIG.b}::double + {CONFIG.b}::double * dl / avgdl))) as score, count(*) as matched, max(n_terms) as n_terms
   from qt join idx using (term) join dfs using (field, term) join dls using (field, doc) join st using (field) group by 1, 2, 3)"""
 
@@ -64,25 +65,78 @@ def _topk(inner: str, k: int, cols: str = "query, doc, score, rank") -> str:
 
 
 # ------------------------------------------------------------------ retrieval
+#: What a search may filter by; a combination of values is a tag of the index.
+FILTERED = ["category", "gender_requirement", "is_expired"]
+MAX_TAGS = 10_000
+
+
+def _tags(s: SparkSession, d: str) -> DataFrame:
+    """``tag`` and the values of each combination of the filtered fields; more than :data:`MAX_TAGS` raise ``ValueError``."""
+    kinds = _jobs(s, d).select(*FILTERED).distinct().limit(MAX_TAGS + 1).collect()
+    if len(kinds) > MAX_TAGS:
+        raise ValueError("too many combinations of filtered values")
+    rows = [(i, *r) for i, r in enumerate(sorted(map(tuple, kinds), key=repr))]
+    return s.createDataFrame(rows, "tag int, category string, gender_requirement string, is_expired boolean")
+
+
+def _tagged(s: SparkSession, d: str) -> DataFrame:
+    tags = F.broadcast(_tags(s, d))  # at most MAX_TAGS rows
+    same = None
+    jobs = _jobs(s, d)
+    for c in FILTERED:
+        one = jobs[c].eqNullSafe(tags[c])
+        same = one if same is None else same & one
+    return jobs.join(tags, same, "left").select(jobs["*"], tags["tag"])
+
+
+def _index(s: SparkSession, d: str, fields: list[str]) -> r.Index:
+    return r.kept_index((tuple(fields), *version(_jobs(s, d))), lambda: r.built_index(_tagged(s, d), "job_id", fields, "tag"))
+
+
+def _every_index(s: SparkSession, d: str) -> r.Index:
+    """One index serves all searches: statistics are by field."""
+    return _index(s, d, sorted({*LEXICAL, *BROWSE} - {"category"}))  # a keyword field matches as a whole only
+
+
+def _allowed(s: SparkSession, d: str, wanted: bool, gender: bool) -> DataFrame:
+    """``query, allow``: the tags a profile may be shown: not expired, open to its gender, of a category it suggests (all where it suggests none)."""
+    q = _cvs(s, d).select("cv_id", F.col("gender").alias("g"), "suggested_categories")
+    fits = ~F.coalesce(F.col("j.is_expired"), F.lit(False))
+    if gender:
+        fits = fits & column(records.allowed_gender(SPARK, "c.g", "j.gender_requirement"))
+    if wanted:
+        named = F.filter("c.suggested_categories", lambda x: x.isNotNull())
+        fits = fits & (F.col("c.suggested_categories").isNull() | (F.size(named) == 0) | F.coalesce(F.array_contains(named, F.col("j.category")), F.lit(False)))
+    pairs = q.alias("c").join(F.broadcast(_tags(s, d)).alias("j"), fits, "left")  # at most MAX_TAGS rows
+    return pairs.groupBy(F.col("c.cv_id").alias("query")).agg(F.sort_array(F.collect_set("j.tag")).alias("allow"))
+
+
 def tokenize_stats(s: SparkSession, d: str) -> DataFrame:
     idx = r.postings(_jobs(s, d), "job_id", ["title", "technical_skills"])
     return idx.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    idx = r.built_index(_jobs(s, d), "job_id", ["technical_skills"])
-    per = r.bm25(idx, r.query_terms(_cvs(s, d), "cv_id", "skills"), 0.0)
-    return r.top_k(per, 10).select("query", "doc", "score", "rank")
+    return r.search(_every_index(s, d), r.query_terms(_cvs(s, d), "cv_id", "skills"), {"technical_skills": 1.0}, 0.0, 10).select("query", "doc", "score", "rank")
 
 
 def bm25_msm(s: SparkSession, d: str) -> DataFrame:
-    idx = r.built_index(_jobs(s, d), "job_id", ["technical_skills", "job_requirements"])
-    per = r.bm25(idx, r.query_terms(_cvs(s, d), "cv_id", "skills"), CONFIG.msm)
+    idx = _every_index(s, d)
+    two = idx._replace(postings=idx.postings.where("field in ('technical_skills', 'job_requirements')"))
+    per = r.bm25(two, r.query_terms(_cvs(s, d), "cv_id", "skills"), CONFIG.msm)
     return per.groupBy("field", "matched").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best"))
 
 
-def _lexical(s: SparkSession, d: str, msm: float, k: int, keep: DataFrame | None = None) -> DataFrame:
-    return r.search(_jobs(s, d), "job_id", _cvs(s, d), "cv_id", "skills", LEXICAL, msm, k, keep)
+def _lexical(s: SparkSession, d: str, msm: float, k: int, allow: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """By the skills of a profile, or by all it says (``full``)."""
+    cv = _cvs(s, d)
+    if full:
+        extras = [F.col(c) for c in ("soft_skills", "languages", "certificates", "education", "experience")]
+        cv = cv.where(F.trim("skills") != "").withColumn("_text", retrieval_text(F.col("skills"), extras, F.col("suggested_categories")))
+    terms = r.query_terms(cv, "cv_id", "_text" if full else "skills")
+    if allow is not None:
+        terms = terms.join(allow, "query")
+    return r.search(_every_index(s, d), terms, LEXICAL, msm, k)
 
 
 def multi_match_best_fields(s: SparkSession, d: str) -> DataFrame:
@@ -91,8 +145,8 @@ def multi_match_best_fields(s: SparkSession, d: str) -> DataFrame:
 
 def browse_search(s: SparkSession, d: str) -> DataFrame:
     q = s.createDataFrame([(1, BROWSE_TEXT)], "query int, txt string")
-    fields = {f: b for f, b in BROWSE.items() if f != "category"}  # a keyword field matches as a whole only
-    return r.search(_jobs(s, d), "job_id", q, "query", "txt", fields, 0.0, 20).select("doc", "score", "rank")
+    fields = {f: b for f, b in BROWSE.items() if f != "category"}
+    return r.search(_every_index(s, d), r.query_terms(q, "query", "txt"), fields, 0.0, 20).select("doc", "score", "rank")
 
 
 def browse_page(s: SparkSession, d: str) -> DataFrame:
@@ -131,18 +185,18 @@ def knn_prefiltered(s: SparkSession, d: str) -> DataFrame:
     return r.nearest(v.where("id % 100 = 0"), v, 10, same_tag=True).select("query", "doc", "score", "rank")
 
 
-def _vector_list(s: SparkSession, d: str, k: int, keep: DataFrame | None = None) -> DataFrame:
-    """A profile's and an advert's vector are those of the vector table by number, as no encoder is at hand."""
+def _vector_list(s: SparkSession, d: str, k: int, allow: DataFrame | None = None) -> DataFrame:
+    """A profile's and an advert's vector are those of the vector table by number, as that has no texts; ``semantic_match`` encodes texts."""
     vec = table(s, d, "embeddings").select("vec_id", "embedding")
     n = vec.agg(F.count("*").alias("n"))
     numbered = _cvs(s, d).select("cv_id", F.row_number().over(W.orderBy("cv_id")).cast("bigint").alias("no"))  # profiles are a fixed short list
     at = lambda df, i: df.crossJoin(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col(i), F.col("n"))).join(vec, "vec_id")  # noqa: E731  n: one row
-    q = at(numbered, "no").select(F.col("no").alias("id"), F.col("embedding").alias("vec"), F.lit(0).alias("tag"))
-    jobs = _jobs(s, d).select("job_id")
-    if keep is not None:
-        jobs = jobs.join(keep.select(F.col("doc").alias("job_id")), "job_id", "left_semi")
-    c = at(jobs, "job_id").select(F.col("job_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0).alias("tag"))
-    near = r.nearest(q, c, k, same_table=False)
+    asks = numbered if allow is None else numbered.join(allow.withColumnRenamed("query", "cv_id"), "cv_id")
+    tag = F.lit(0) if allow is None else F.col("allow")
+    q = at(asks, "no").select(F.col("no").alias("id"), F.col("embedding").alias("vec"), tag.alias("tag"))
+    jobs = _jobs(s, d).select("job_id", F.lit(0).alias("tag")) if allow is None else _tagged(s, d).select("job_id", "tag")
+    c = at(jobs, "job_id").select(F.col("job_id").alias("id"), F.col("embedding").alias("vec"), "tag")
+    near = r.nearest(q, c, k, same_table=False, allow=allow is not None)
     return near.withColumnRenamed("query", "no").join(F.broadcast(numbered), "no").select(F.col("cv_id").alias("query"), "doc", "score", "rank")
 
 
@@ -151,28 +205,19 @@ def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     return fused.select("query", "doc", "rrf_score", "bm25_rank", "knn_rank", "rank")
 
 
-def _open(s: SparkSession, d: str) -> DataFrame:
-    return filter_not_expired(s, d).select(F.col("job_id").alias("doc"))
-
-
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    keep = _open(s, d)
-    fused = r.fuse(_lexical(s, d, CONFIG.msm, CONFIG.size, keep), _vector_list(s, d, CONFIG.size, keep), CONFIG.size)
+    allow = _allowed(s, d, wanted=False, gender=False)
+    fused = r.fuse(_lexical(s, d, CONFIG.msm, CONFIG.size, allow), _vector_list(s, d, CONFIG.size, allow), CONFIG.size)
     return fused.select("query", "doc", "rrf_score", "rank", "total")
 
 
-def _wanted(s: SparkSession, d: str) -> DataFrame:
-    """``query, doc``: adverts of a category that the profile suggests; all of them where it suggests none."""
-    cv = _cvs(s, d).select(F.col("cv_id").alias("query"), F.explode("suggested_categories").alias("category")).where("category is not null").distinct()
-    return cv.join(_jobs(s, d).select("category", F.col("job_id").alias("doc")), "category").select("query", "doc")
-
-
 def hybrid_relaxed(s: SparkSession, d: str) -> DataFrame:
-    """Strict: only suggested categories; profiles with few hits get the loose list without that filter."""
-    cv = _cvs(s, d).where("suggested_categories is not null")
-    strict = r.search(_jobs(s, d), "job_id", cv, "cv_id", "skills", LEXICAL, 0.6, CONFIG.size, _wanted(s, d)).select("query", "doc", "score", "rank")
-    loose = r.search(_jobs(s, d), "job_id", cv, "cv_id", "skills", LEXICAL, CONFIG.msm_relaxed, CONFIG.size).select("query", "doc", "score", "rank")
-    return r.relaxed(strict, loose, cv, "cv_id")
+    """Of all profiles: both lists within the categories a profile suggests; where they bring few hits, more loosely and without that filter."""
+    lists = []
+    for wanted, msm in ((True, CONFIG.msm), (False, CONFIG.msm_relaxed)):
+        allow = cut(_allowed(s, d, wanted, gender=True))
+        lists.append(cut(r.fuse(_lexical(s, d, msm, CONFIG.size, allow, full=True), _vector_list(s, d, CONFIG.size, allow), CONFIG.size).select("query", "doc", "rrf_score", "rank")))
+    return r.relaxed(*lists, _cvs(s, d), "cv_id")
 
 
 # ------------------------------------------------------------------ places
@@ -183,11 +228,22 @@ def _norm_sql(x: str) -> str:
     return f"(' ' || trim({CHECK.repl(bare, '[^a-z0-9]+', ' ')}) || ' ')"
 
 
+_ALIASES = ", ".join(f"({CHECK.lit(c)}, '{a}')" for c, names in m.CITY_ALIASES.items() for a in names)
+
+
 def _cities_sql(name: str, source: str, key: str, place: str) -> str:
     norm = _norm_sql(place)
-    return f"""{name} as (
+    return f"""{name}_names as (
+  select ref_id, trim({_norm_sql('city')}) as n from city_ref union select ref_id, a.alias from city_ref join (values {_ALIASES}) as a(city, alias) using (city)),
+{name}_met as (
+  select {key}, ref_id, trim(substr(t, 1, strpos(t, ' ' || n || ' '))) as pre, trim(substr(t, strpos(t, ' ' || n || ' ') + length(n) + 1)) as post
+  from (select {key}, {norm} as t from {source} where {key} is not null) join {name}_names on contains(t, ' ' || n || ' ')),
+{name}_good as (
+  select distinct {key}, ref_id from {name}_met
+  where not regexp_matches(right(pre, 20), '(phuong|quan|duong|pho|thon|ap|xa|huyen|thi tran|khu pho|to|ngo|hem)$') and not regexp_matches(left(post, 20), '^(phu|plaza|tower|building|center|centre|street|road|avenue)')),
+{name} as (
   select a.{key}, coalesce(list(c.ref_id order by c.ref_id) filter (where c.ref_id is not null), []::int[]) as cities
-  from (select {key}, {norm} as t from {source}) a left join (select ref_id, {_norm_sql('city')} as n from city_ref) c on contains(a.t, c.n) group by 1)"""
+  from (select distinct {key} from {source} where {key} is not null) a left join {name}_good c using ({key}) group by 1)"""
 
 
 def gazetteer_match(s: SparkSession, d: str) -> DataFrame:
@@ -226,10 +282,13 @@ JOB_SIDE = {k: f"job_{k}" for k in ("skills", "category", "experience", "educati
 
 def _with_columns(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     ref = table(s, d, "city_ref")
+    hits = cut(hits)
     cv = _cvs(s, d).select(F.col("cv_id").alias("query"), *[column(x).alias(n) for n, x in _cv_cols(SPARK).items()])
     cv = cv.join(m.city_sets(_cvs(s, d).withColumnRenamed("cv_id", "query"), "query", "cv_location", ref, "ref_id", "city").withColumnRenamed("cities", "cv_cities"), "query")
-    job = _jobs(s, d).select(F.col("job_id").alias("doc"), *[column(x).alias(n) for n, x in _job_cols(SPARK).items()])
-    job = job.join(m.city_sets(_jobs(s, d).withColumnRenamed("job_id", "doc"), "doc", "job_location", ref, "ref_id", "city").withColumnRenamed("cities", "job_cities"), "doc")
+    # only adverts that were hit are parsed
+    found = _jobs(s, d).withColumnRenamed("job_id", "doc").join(hits.select("doc").distinct(), "doc", "left_semi")
+    job = found.select("doc", *[column(x).alias(n) for n, x in _job_cols(SPARK).items()])
+    job = job.join(m.city_sets(found, "doc", "job_location", ref, "ref_id", "city").withColumnRenamed("cities", "job_cities"), "doc")
     return hits.join(cv, "query").join(job, "doc")
 
 
@@ -280,10 +339,8 @@ def head_tail_rank(s: SparkSession, d: str) -> DataFrame:
 
 
 def match_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Retrieve, fuse, put the profile's city first, score the head, rank."""
-    keep = _open(s, d)
-    fused = r.fuse(_lexical(s, d, CONFIG.msm, CONFIG.size, keep), _vector_list(s, d, CONFIG.size, keep), CONFIG.size).select("query", "doc", "rank")
-    pairs = _with_columns(s, d, fused)
+    """Retrieve and fuse, more loosely where that brings few; put the profile's city first, score the head, rank."""
+    pairs = _with_columns(s, d, hybrid_relaxed(s, d).select("query", "doc", "rank"))
     first = pairs.withColumn("same_city", F.coalesce(F.arrays_overlap("cv_cities", "job_cities"), F.lit(False)))
     placed = first.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("same_city"), "rank")))
     return m.ranked(placed.withColumn("total", column(m.weighted(_scores(SPARK)))), "total")
@@ -301,6 +358,34 @@ QUERIES = {
 # ------------------------------------------------------------------ SQL
 _LEX = f"with {_index_sql(list(LEXICAL))},\n{_terms_sql(_CV_TEXT)},\n{_SCORE}"
 _OPEN = "doc in (select job_id from jobs where not coalesce(is_expired, false))"
+_FULL_TEXT = "select cv_id as query, concat_ws(', ', nullif(trim(skills), ''), nullif(trim(soft_skills), ''), nullif(trim(languages), ''), nullif(trim(certificates), ''), nullif(trim(education), ''), nullif(trim(experience), ''), nullif(array_to_string(suggested_categories, ', '), '')) as txt from cv_profiles where trim(skills) <> ''"
+
+
+def _relaxed_sql() -> str:
+    """Both passes written out, with the filters as pairs of profile and advert."""
+    gender = _open_pairs(CHECK)
+    category = "(c.suggested_categories is null or len(list_filter(c.suggested_categories, lambda x: x is not null)) = 0 or coalesce(list_contains(list_filter(c.suggested_categories, lambda x: x is not null), j.category), false))"
+    parts = [f"""{_index_sql(list(LEXICAL))},
+{_terms_sql(_FULL_TEXT)},
+{_SCORE},
+{_NUMBERED},
+qv as materialized (select cvn.cv_id as query, embedding::double[] as v from cvn cross join nv join embeddings on vec_id = no % n),
+jv as materialized (select job_id as doc, embedding::double[] as v from jobs cross join nv join embeddings on vec_id = job_id % n)"""]
+    for tag, msm, filters in (("s", CONFIG.msm, f"{gender} and {category}"), ("l", CONFIG.msm_relaxed, gender)):
+        parts.append(f"""ok_{tag} as materialized (select c.cv_id as query, j.job_id as doc from cv_profiles c join jobs j on not coalesce(j.is_expired, false) and {filters}),
+lex_{tag} as ({_topk(_boosted(LEXICAL, msm, f'(query, doc) in (select query, doc from ok_{tag})'), CONFIG.size)}),
+vec_{tag} as (
+  select query, doc, row_number() over (partition by query order by score desc, doc) as rank from (
+    select o.query, o.doc, round((1 + list_cosine_similarity(qe.v, je.v)) / 2, 6) as score
+    from ok_{tag} o join qv qe using (query) join jv je using (doc))
+  qualify rank <= {CONFIG.size}),
+both_{tag} as materialized (
+  select query, doc, round(sum(s), 8) as rrf_score, max(b) as b, max(v) as v from (
+    select query, doc, 1.0::double / ({CONFIG.rrf_k} + rank) as s, rank as b, null as v from lex_{tag} union all select query, doc, 1.0::double / ({CONFIG.rrf_k} + rank), null, rank from vec_{tag}) group by 1, 2),
+top_{tag} as materialized (select query, doc, rrf_score, row_number() over (partition by query order by rrf_score desc, b nulls last, v nulls last, doc) as rank from both_{tag} qualify rank <= {CONFIG.size})""")
+    parts.append(f"few as (select cv_id as query from cv_profiles where cv_id not in (select query from top_s group by 1 having count(*) >= {CONFIG.relax_below}))")
+    parts.append("relaxed as (select *, false as is_relaxed from top_s where query not in (select query from few) union all select *, true from top_l where query in (select query from few))")
+    return "with " + ",\n".join(parts)
 _NUMBERED = "cvn as (select cv_id, row_number() over (order by cv_id) as no from cv_profiles), nv as (select count(*) as n from embeddings)"
 
 
@@ -351,12 +436,7 @@ ORACLE: dict[str, str] = {
     "knn_prefiltered": "select query, doc, score, rank from (select q.vec_id as query, c.vec_id as doc, round((1 + list_cosine_similarity(q.embedding::double[], c.embedding::double[])) / 2, 6) as score, row_number() over (partition by q.vec_id order by round((1 + list_cosine_similarity(q.embedding::double[], c.embedding::double[])) / 2, 6) desc, c.vec_id) as rank from embeddings q join embeddings c on q.vec_id <> c.vec_id and q.label = c.label where q.vec_id % 100 = 0) where rank <= 10",
     "rrf_fusion": f"{_LEX}, lex as ({_topk(_boosted(LEXICAL, CONFIG.msm), 20)}), {_NUMBERED}, {_vector_sql('vecs', 20)}, {_fused_sql(20)} select query, doc, rrf_score, bm25_rank, knn_rank, rank from top",
     "hybrid_search": f"{_LEX}, lex as ({_topk(_boosted(LEXICAL, CONFIG.msm, _OPEN), CONFIG.size)}), {_NUMBERED}, {_vector_sql('vecs', CONFIG.size, _OPEN)}, {_fused_sql(CONFIG.size)} select query, doc, rrf_score, rank, total from top",
-    "hybrid_relaxed": f"""with {_index_sql(list(LEXICAL))}, {_terms_sql('select cv_id as query, skills as txt from cv_profiles where suggested_categories is not null')}, {_SCORE},
-want as (select distinct cv_id as query, unnest(suggested_categories) as category from cv_profiles), ok as (select query, job_id as doc from want join jobs using (category)),
-strict as ({_topk(_boosted(LEXICAL, 0.6, '(query, doc) in (select query, doc from ok)'), CONFIG.size)}),
-loose as ({_topk(_boosted(LEXICAL, CONFIG.msm_relaxed), CONFIG.size)}),
-few as (select cv_id as query from cv_profiles where suggested_categories is not null and cv_id not in (select query from strict group by 1 having count(*) >= {CONFIG.relax_below}))
-select query, doc, score, rank, false as is_relaxed from strict where query not in (select query from few) union all select query, doc, score, rank, true from loose where query in (select query from few)""",
+    "hybrid_relaxed": f"{_relaxed_sql()} select query, doc, rrf_score, rank, is_relaxed from relaxed",
     "gazetteer_match": f"with {_cities_sql('jobc', 'jobs', 'job_id', 'job_location')} select job_id, unnest(cities) as ref_id from jobc",
     "city_score": f"{_LEX}, {_pair_sql(_LEX_HITS)} select query, doc, {geo.city_score(CHECK, 'cv_cities', 'job_cities', CONFIG.same_city, CONFIG.other_city, CONFIG.unknown_city)} as score from pairs",
     "distance_score": f"with g as (select company_address, min(lat) as lat, min(lng) as lng from geocode_cache where lat is not null and lng is not null group by 1) select job_id, round({geo.distance_km('latitude', 'longitude', 'lat', 'lng')}, 3) as km, {geo.distance_score(geo.distance_km('latitude', 'longitude', 'lat', 'lng'), CONFIG.distance_km, CONFIG.location_floor)} as score from jobs join g using (company_address) where latitude is not null and longitude is not null",
@@ -367,6 +447,6 @@ select query, doc, rank, same_city, row_number() over (partition by query order
     "wsm_total": f"{_LEX}, {_pair_sql(_LEX_HITS)}, sc as (select query, doc, {_RUBRIC} from pairs) select query, doc, {m.weighted({k: k for k in CONFIG.weights})} as total from sc",
     "fallback_score": f"{_LEX} select query, doc, {m.fallback('(rank - 1)')} as score from ({_LEX_HITS})",
     "head_tail_rank": f"{_LEX}, {_pair_sql(_LEX_HITS)} {_RANKED} (select query, doc, rank as place, {_TOTAL} as total from pairs))",
-    "match_pipeline": f"""{_LEX}, lex as ({_topk(_boosted(LEXICAL, CONFIG.msm, _OPEN), CONFIG.size)}), {_NUMBERED}, {_vector_sql('vecs', CONFIG.size, _OPEN)}, {_fused_sql(CONFIG.size)},
-{_pair_sql('select query, doc, rank from top')} {_RANKED} (select query, doc, row_number() over (partition by query order by list_has_any(cv_cities, job_cities) desc, rank) as place, {_TOTAL} as total from pairs))""",
+    "match_pipeline": f"""{_relaxed_sql()},
+{_pair_sql('select query, doc, rank from relaxed')} {_RANKED} (select query, doc, row_number() over (partition by query order by list_has_any(cv_cities, job_cities) desc, rank) as place, {_TOTAL} as total from pairs))""",
 }

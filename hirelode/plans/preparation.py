@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators.packed_values import fields_as_rows, split_packed
 from ..operators.pay_units import pay_candidates
-from ..sources.tables import table
+from ..sources.tables import table, texts
 
 PACKED_FIELDS = ["technical_skills", "soft_skills", "languages", "certificates"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    cells = fields_as_rows(table(spark, d, "jobs"), "job_id", PACKED_FIELDS)
+    cells = fields_as_rows(texts(spark, d, "jobs"), "job_id", PACKED_FIELDS)
     return split_packed(cells, "cell", "field_name", slash_fields=["soft_skills", "languages"], joined_fields=["languages"])
 
 
@@ -23,13 +23,13 @@ def p1_value_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    pay = pay_candidates(table(spark, d, "jobs"), table(spark, d, "salary_units"))
+    pay = pay_candidates(texts(spark, d, "jobs"), table(spark, d, "salary_units"))
     return pay.select("job_id", "min_vnd", "max_vnd").where("min_vnd is not null and max_vnd is not null")
 
 
 def p7_units(spark: SparkSession, d: str) -> DataFrame:
     """The unit combination chosen for each advert, its residual, and whether another is as good."""
-    return pay_candidates(table(spark, d, "jobs"), table(spark, d, "salary_units"))
+    return pay_candidates(texts(spark, d, "jobs"), table(spark, d, "salary_units"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_value_counts, p7_found, p7_units)}

@@ -24,30 +24,44 @@ def shipped(spark: SparkSession) -> None:
     sc._hirelode_shipped = True
 
 
-#: Tables whose rows are dear to work on.
-TEXT_TABLES = frozenset({"jobs", "documents", "geocode_cache"})
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` below ``sf_dir`` (a file or a folder of parts)."""
+    shipped(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``sf_dir`` (a file or a folder of parts).
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for work that is dear by the row.
 
-    A table of texts that lies in fewer splits than half the cores is dealt out
-    over the cores; one of ordinary size has splits enough and is read as it is.
+    A table of ordinary size has more splits than that and passes unchanged; only
+    one that lies in fewer, less than a split a core, is dealt out.
     """
-    shipped(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() * 2 <= cores:
-            return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is dear by the row."""
+    return spread(table(spark, sf_dir, name))
+
+
+def version(df: DataFrame) -> tuple:
+    """What tells one state of a table on files from another: its files with their sizes and times."""
+    spark = df.sparkSession
+    jvm, conf, out = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return (spark.sparkContext.applicationId, *out)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is
-    made and set, once per session.
+    Only where that is unset and the session runs on one machine (tests) a
+    temporary folder is made and set, once per session; on a cluster that is an
+    error, as no executor could read another's folder.
     """
     shipped(spark)
     sc = spark.sparkContext
@@ -58,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hirelode-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
