@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, table
+from ..sources.tables import cut, table, texts
 from . import address, consensus, mapping, mixing, neardup, packing, pii, quality, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,7 @@ KEY_SETTING, PUBLIC_KEY = "spark.hirelode.surrogateKey", "not secret"
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    return mapping.mapped_cells(table(spark, d, "jobs"), table(spark, d, "city_ref"), table(spark, d, "education_ref"))
+    return mapping.mapped_cells(texts(spark, d, "jobs"), table(spark, d, "city_ref"), table(spark, d, "education_ref"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The values without an entry, with how often each stands there."""
     both = None
     for name, ref, text, known in ((mapping.LOCATION, "city_ref", "city", mapping.PLACES), (mapping.EDUCATION, "education_ref", "education_level", mapping.LEVELS)):
-        cells = table(spark, d, "jobs").select(F.col(name).alias("v"))
+        cells = texts(spark, d, "jobs").select(F.col(name).alias("v"))
         none = mapping.map_values(cells, "v", table(spark, d, ref), "ref_id", text, known).where("ref_id = 0")
         part = cells.join(none, "v").groupBy("v").agg(F.count("*").alias("n_cells")).select(F.lit(name).alias("field_name"), F.col("v").alias("value_text"), "n_cells")
         both = part if both is None else both.unionByName(part)
@@ -57,31 +57,31 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.all_pairs(*neardup.near_duplicates(table(spark, d, "jobs"), "job_id", TEXT_FIELDS))
+    pairs = neardup.all_pairs(*neardup.near_duplicates(texts(spark, d, "jobs"), "job_id", TEXT_FIELDS))
     return pairs.select(F.col("a").alias("job_id_a"), F.col("b").alias("job_id_b"))
 
 
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
-    linked = neardup.linked_members(*neardup.near_duplicates(table(spark, d, "jobs"), "job_id", TEXT_FIELDS))
+    linked = neardup.linked_members(*neardup.near_duplicates(texts(spark, d, "jobs"), "job_id", TEXT_FIELDS))
     return linked.select(F.col("id").alias("job_id"), "class_id", "n_links")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.findings(table(spark, d, "jobs"), "job_id", PII_FIELDS).select("job_id", "field_name", "kind", "value_text")
+    return pii.findings(texts(spark, d, "jobs"), "job_id", PII_FIELDS).select("job_id", "field_name", "kind", "value_text")
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(table(spark, d, "jobs"), "job_id", PII_FIELDS)
+    return pii.redacted(texts(spark, d, "jobs"), "job_id", PII_FIELDS)
 
 
 def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.findings(table(spark, d, "jobs"), "job_id", PII_FIELDS)
+    found = pii.findings(texts(spark, d, "jobs"), "job_id", PII_FIELDS)
     return surrogates.surrogates(cut(found), _key(spark)).select("kind", "canon", "value_text", "surrogate")
 
 
 def p5_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
     """The texts with surrogates in the place of personal data."""
-    return surrogates.pseudonymised(table(spark, d, "jobs"), "job_id", PII_FIELDS, _key(spark))
+    return surrogates.pseudonymised(texts(spark, d, "jobs"), "job_id", PII_FIELDS, _key(spark))
 
 
 def _key(spark: SparkSession) -> str:
@@ -89,43 +89,43 @@ def _key(spark: SparkSession) -> str:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.all_pairs(*address.same_houses(table(spark, d, "geocode_cache"), "address_id", "company_address"))
+    pairs = neardup.all_pairs(*address.same_houses(texts(spark, d, "geocode_cache"), "address_id", "company_address"))
     return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
 
 
 def p6_members(spark: SparkSession, d: str) -> DataFrame:
-    linked = neardup.linked_members(*address.same_houses(table(spark, d, "geocode_cache"), "address_id", "company_address"))
+    linked = neardup.linked_members(*address.same_houses(texts(spark, d, "geocode_cache"), "address_id", "company_address"))
     return linked.select(F.col("id").alias("address_id"), "class_id", "n_links")
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+    return packing.packed(texts(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "pack_sizes")
-    return packing.fill_report(packing.packed(table(spark, d, "documents"), sizes), sizes)
+    return packing.fill_report(packing.packed(texts(spark, d, "documents"), sizes), sizes)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mixture(texts(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mixture(texts(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.outliers(table(spark, d, "documents"), table(spark, d, "common_words")).select("doc_id")
+    return quality.outliers(texts(spark, d, "documents"), table(spark, d, "common_words")).select("doc_id")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    stats = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    stats = quality.document_statistics(texts(spark, d, "documents"), table(spark, d, "common_words"))
     return stats.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in quality.NAMES[1:-1]])
 
 
 def p10_tails(spark: SparkSession, d: str) -> DataFrame:
-    stats = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words")).where("doc_id is not null")
+    stats = quality.document_statistics(texts(spark, d, "documents"), table(spark, d, "common_words")).where("doc_id is not null")
     return quality.tail_scores(stats, "doc_id", "lang", quality.SIDES, "is_spoken")
 
 
