@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .dialect import Spark, has_any, text
 
 LEVELS = ["Đại học", "Cao đẳng", "Trung cấp", "Trung học", "Không yêu cầu"]
@@ -181,3 +184,27 @@ def allowed_gender(q: Spark, profile: str, wanted: str) -> str:
     return f"({wanted} IS NULL OR (CASE WHEN {inside(g, ANY_GENDER)} THEN true {rules} ELSE {inside(wanted, NEUTRAL)} END))"
 
 
+
+
+#: Levels of experience as listing pages number them.
+EXPERIENCE_LEVELS = {"Không yêu cầu": 1, "Dưới 1 năm": 2, "1 năm": 3, "2 năm": 4, "3 năm": 5, "4 năm": 6, "5 năm": 7, "Trên 5 năm": 8}
+
+
+def experience_level(q: Spark, x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {q.lit(k)} THEN {v}" for k, v in EXPERIENCE_LEVELS.items()) + " END"
+
+
+def paged_url(base: Column, page: Column) -> Column:
+    """The address of a listing's page; the first has none of its own."""
+    sign = F.when(base.contains("?"), "&").otherwise("?")
+    return F.when(page <= 1, base).otherwise(F.concat(base, sign, F.lit("page="), page.cast("string")))
+
+
+def filtered_url(base: Column, level: Column, page: Column, family: Column | None = None, newest: bool = False) -> Column:
+    """The address of a listing of one level of experience; null without a level."""
+    fixed = ("&sort=up_top" if newest else "") + "&type_keyword=1&sba=1&saturday_status=0"
+    parts = [base, F.lit("?exp="), level.cast("string"), F.lit(fixed)]
+    if family is not None:
+        parts.append(F.coalesce(F.concat(F.lit("&category_family="), family), F.lit("")))
+    parts.append(F.when(page > 1, F.concat(F.lit("&page="), page.cast("string"))).otherwise(""))
+    return F.concat(*parts)

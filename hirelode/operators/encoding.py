@@ -67,7 +67,7 @@ def _parts(*parts: Column) -> Column:
 
 def job_text(title: Column, tags: Column, skills: Column, specialisations: Column, requirements: Column) -> Column:
     """The text of an advert that is encoded: five fields, the last one's first 500 letters, blank ones left out."""
-    return _parts(title, tags, skills, specialisations, F.substring(F.trim(requirements), 1, 500))
+    return F.concat_ws(". ", *[F.nullif(F.trim(p), F.lit("")) for p in (title, tags, skills, specialisations)], F.nullif(F.substring(F.trim(requirements), 1, 500), F.lit("")))
 
 
 def cv_text(skills: Column, profile: Column) -> Column:

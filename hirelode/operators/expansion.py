@@ -44,3 +44,15 @@ def neighbours(edges: DataFrame, start: DataFrame, up: tuple[str, str], cap: int
     w = W.partitionBy("src").orderBy("title", "other")
     out = met.withColumn("place", F.row_number().over(w))
     return (out if cap is None else out.where(F.col("place") <= cap)).select("src", "title", "place")
+
+
+def expand_near(near: DataFrame, labels: DataFrame, least: float, cap: int, per_concept: int = 2) -> DataFrame:
+    """``query, place, term``: a term (``v`` and its number), then up to ``per_concept`` other labels of each concept that is near enough, ``cap`` in all.
+
+    ``near``: ``query, doc, score, rank`` with ``score = (1 + cosine) / 2``;
+    ``labels``: ``doc, alts``.
+    """
+    own = near.select("query").distinct().select("query", F.lit(0).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.concat(F.lit("v"), "query").alias("term"))
+    good = near.where(2 * F.col("score") - 1 >= least).join(labels, "doc")
+    more = good.select("query", F.lit(1).alias("part"), F.col("rank").alias("a"), F.posexplode(F.slice("alts", 1, per_concept)).alias("b", "term")).withColumn("b", F.col("b") + 1)
+    return placed(own.unionByName(more.select(*own.columns)), "query", cap)

@@ -21,9 +21,18 @@ def cube_counts(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return given.cube(*dims).agg(F.count("*").alias("n")).fillna("total", list(dims))
 
 
-def disagreement(labels: DataFrame, key: Sequence[str], dims: Sequence[str], limit: int) -> DataFrame:
-    """``dimension, n_items``: items whose greatest and least score differ by more than ``limit``; scores outside 0–10 don't count."""
+def accuracy(df: DataFrame, right: str) -> DataFrame:
+    """``n, n_right, accuracy`` of a flag without nulls."""
+    flag = F.col(right).cast("double")
+    return df.agg(F.count("*").alias("n"), F.sum(F.col(right).cast("bigint")).alias("n_right"), F.round(F.avg(flag), 6).alias("accuracy"))
+
+
+def disagreement(labels: DataFrame, key: Sequence[str], dims: Sequence[str], limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """``dimension, n_items``: items whose greatest and least score differ by more than ``limit``; scores outside 0–10 don't count.
+
+    ``by``: also by these columns of the items, the least value where an item has several.
+    """
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score")) for d in dims])
-    long = labels.select(*key, F.inline(pairs)).where("score between 0 and 10")
-    spread = long.groupBy(*key, "dimension").agg((F.max("score") - F.min("score")).alias("spread")).where(F.col("spread") > limit)
-    return spread.groupBy("dimension").agg(F.count("*").alias("n_items"))
+    long = labels.select(*key, *by, F.inline(pairs)).where("score between 0 and 10")
+    spread = long.groupBy(*key, "dimension").agg((F.max("score") - F.min("score")).alias("spread"), *[F.min(c).alias(c) for c in by]).where(F.col("spread") > limit)
+    return spread.groupBy("dimension", *by).agg(F.count("*").alias("n_items"))

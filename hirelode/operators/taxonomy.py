@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import evaluated
+
 #: What a title may bear behind it in the taxonomy, the preferred first.
 SUFFIXES = ("(computer programming)", "(software)")
 
@@ -38,35 +40,36 @@ def resolved_titles(titles: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.select("title").join(met, "title", "left").select("title", F.col("n.uri").alias("uri"), F.col("n.type").alias("type"))
 
 
-def first_label(text: Column) -> Column:
-    """The words of ``text`` before one comes again; four, if six come without; all of up to three words."""
-    words = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    forms = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[.,;:]+|[.,;:]+$", ""))
-    again = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i > 1) & (F.array_position(forms, F.get(forms, i - 1)) < i))
-    at = F.get(again, F.lit(0))  # the place, from 1, of the first word that was there before
-    n = F.size(words)
-    take = F.when(n <= 3, n).when(at.isNotNull() & (at <= 6), at - 1).when(n >= 6, F.lit(4)).otherwise(n)
-    return F.when(n <= 3, F.trim(F.coalesce(text, F.lit("")))).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(take, F.lit(0))), " "))
+def _first_label(d: DataFrame, text: str) -> DataFrame:
+    """``d`` with ``preferred``: the words of ``text`` before one comes again; four, if six come without; all of up to three words."""
+    d = evaluated(d, {"_w": F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")})
+    d = evaluated(d, {"_f": F.transform("_w", lambda w: F.regexp_replace(F.lower(w), r"^[.,;:]+|[.,;:]+$", ""))})
+    # the place, from 1, of the first of the first six words that was there before
+    early = F.filter(F.sequence(F.lit(2), F.greatest(F.least(F.size("_f"), F.lit(6)), F.lit(2))), lambda i: F.array_position("_f", F.get("_f", i - 1)) < i)
+    d = evaluated(d, {"_again": F.get(early, F.lit(0)), "_n": F.size("_w")})
+    take = F.when(F.col("_again").isNotNull(), F.col("_again") - 1).when(F.col("_n") >= 6, F.lit(4)).otherwise(F.col("_n"))
+    first = F.when(F.col("_n") <= 3, F.trim(text)).otherwise(F.array_join(F.slice("_w", F.lit(1), F.greatest(take, F.lit(0))), " "))
+    return d.withColumn("preferred", first).drop("_w", "_f", "_again", "_n")
 
 
-def split_description(text: Column) -> dict[str, Column]:
-    """``labels`` and ``description`` of a text that runs labels and sentences together.
+def split_descriptions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, preferred, labels, description`` of texts that run labels and sentences together.
 
     The description begins with the first sentence of over 40 letters that has a
     capital first and a full stop, or over 80 letters; else it is the last
-    sentence.  A text of one sentence is all labels.
+    sentence.  A text of one sentence is all labels, and its own description;
+    null is empty.
     """
-    t = F.trim(F.coalesce(text, F.lit("")))
-    parts = F.split(t, r"(?<=[.!?])\s+")
-    n = F.size(parts)
+    d = df.select(key, F.trim(F.coalesce(text, F.lit(""))).alias("_t"))
+    d = evaluated(d, {"_p": F.split("_t", r"(?<=[.!?])\s+")})
     long = lambda s: (F.length(s) > 40) & s.rlike(r"^\p{Lu}") & (s.contains(".") | (F.length(s) > 80))
-    begin = F.get(F.filter(F.sequence(F.lit(1), n), lambda i: long(F.trim(F.get(parts, i - 1)))), F.lit(0))
-    at = F.coalesce(begin, n)
-    joined = lambda a, k: F.array_join(F.slice(parts, a, k), ". ")
-    one = n <= 1
-    description = F.when(one, t).otherwise(joined(at, n - at + 1))
-    labels = F.when(one, F.lit("")).otherwise(F.when(at > 1, joined(F.lit(1), at - 1)).otherwise(F.lit("")))
-    return {"preferred": F.when(one, first_label(t)).otherwise(first_label(labels)), "labels": labels, "description": description}
+    d = evaluated(d, {"_n": F.size("_p"), "_at": F.coalesce(F.get(F.filter(F.sequence(F.lit(1), F.size("_p")), lambda i: long(F.trim(F.get("_p", i - 1)))), F.lit(0)), F.size("_p"))})
+    joined = lambda a, k: F.array_join(F.slice("_p", a, k), ". ")
+    one, at, n = F.col("_n") <= 1, F.col("_at"), F.col("_n")
+    labels = F.when(~one & (at > 1), joined(F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise("")
+    d = evaluated(d, {"labels": labels, "description": F.when(one, F.col("_t")).otherwise(joined(at, n - at + 1))})
+    d = d.withColumn("_source", F.when(F.col("_n") <= 1, F.col("_t")).otherwise(F.col("labels")))
+    return _first_label(d, "_source").select(key, "preferred", "labels", "description")
 
 
 def concept_fields(reply: Column) -> dict[str, Column]:

@@ -29,7 +29,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
 
     Without a schema types are inferred, at the cost of a second pass.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
@@ -39,13 +39,13 @@ def append_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     Each file has the header, so that the folder reads as one table.
     """
     cols = [F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]
-    df.select(*cols).write.mode("append").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    df.select(*cols).write.mode("append").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def read_score_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Score sheets, one JSON object a file with its list of scores: a row per score, the sheet's annotator where a score names none."""
+def read_score_sheets(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Score sheets, one JSON object a file (or a line) with its list of scores: a row per score, the sheet's annotator where a score names none."""
     schema = StructType.fromDDL(f"x {SCORE_SHEET}")["x"].dataType
-    sheets = spark.read.schema(schema).option("multiLine", True).json(path)
+    sheets = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
     rows = sheets.select(F.col("metadata.annotator").alias("_by"), F.inline("annotations"))
     return rows.withColumn("annotator", F.coalesce("annotator", "_by")).drop("_by")
 
