@@ -36,10 +36,13 @@ def placed(parts: DataFrame, key: str, cap: int | None = None) -> DataFrame:
 def neighbours(edges: DataFrame, start: DataFrame, up: tuple[str, str], cap: int | None = None) -> DataFrame:
     """``src, title, place``: nodes that share a node with ``src`` over two edges of the given kinds, by title; a node isn't its own neighbour.
 
-    The pairs are counted distinct before they are ranked.
+    With a cap each shared node first keeps as many of its nodes, and one more for
+    ``src`` itself: no more of them can be among the first.
     """
-    a = edges.where(F.col("kind") == up[0]).join(start, "src", "left_semi").select("src", F.col("dst").alias("mid"))
-    b = edges.where(F.col("kind") == up[1]).select(F.col("src").alias("mid"), F.col("dst").alias("other"), F.col("title"))
+    a = edges.where(F.col("kind") == up[0]).join(start, "src", "left_semi").select("src", F.col("dst").alias("mid")).distinct()
+    b = edges.where(F.col("kind") == up[1]).select(F.col("src").alias("mid"), F.col("dst").alias("other"), F.col("title")).distinct()
+    if cap is not None:
+        b = b.withColumn("_n", F.row_number().over(W.partitionBy("mid").orderBy("title", "other"))).where(F.col("_n") <= cap + 1).drop("_n")
     met = a.join(b, "mid").where("src <> other").select("src", "other", "title").distinct()
     w = W.partitionBy("src").orderBy("title", "other")
     out = met.withColumn("place", F.row_number().over(w))

@@ -55,8 +55,8 @@ def quota_fill(candidates: DataFrame, existing: DataFrame, strata: Sequence[str]
     """Candidates in order of arrival while their stratum has room beside what is there."""
     have = existing.groupBy(*strata).agg(F.count("*").alias("_have"))
     w = W.partitionBy(*strata).orderBy(*order)
-    ranked = candidates.withColumn("place", F.row_number().over(w))
-    return ranked.join(F.broadcast(have), list(strata), "left").where(F.col("place") <= F.lit(quota) - F.coalesce("_have", F.lit(0))).drop("_have")
+    ranked = candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota)  # no stratum has more room
+    return ranked.join(have, list(strata), "left").where(F.col("place") <= F.lit(quota) - F.coalesce("_have", F.lit(0))).drop("_have")
 
 
 def interleaved(lists: DataFrame, group: str, level: str, order: Sequence[str], item: str) -> DataFrame:

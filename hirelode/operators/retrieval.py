@@ -77,10 +77,12 @@ def bm25(index: Index, terms: DataFrame, msm: float, cfg: MatchConfig = CONFIG)
     With a column ``allow`` (an array of tags, null for all) in ``terms`` only
     documents with these tags are scored.
     """
-    hits = index.postings.join(terms, "term")
+    # all a term brings along is joined to it first, so that the postings take part in one join: with a small side that is
+    # sent around as long as its size allows, else by shuffle, where a term of many postings is a skewed partition that AQE splits
+    asked = terms.join(index.frequencies, "term").join(F.broadcast(index.stats), "field")  # stats: a row a field
+    hits = index.postings.join(asked, ["field", "term"])
     if "allow" in terms.columns:
         hits = hits.where(F.col("allow").isNull() | F.array_contains("allow", F.col("tag"))).drop("allow")
-    hits = hits.join(index.frequencies, ["field", "term"]).join(F.broadcast(index.stats), "field")  # a row a field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
     out = hits.groupBy("query", "doc", "field").agg(F.sum(idf * F.col("tf") / norm).alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
@@ -157,6 +159,29 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = Fals
     return top_k(found, k)
 
 
+def nearest_by_hash(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, tables: int = 8, width: float = 1.0, seed: int = 5) -> DataFrame:
+    """``query, doc, dist, rank``: the ``k`` nearest found by random projections, ``dist`` between vectors of length 1.
+
+    Not exact: only vectors that share a bucket of one of ``tables`` projections
+    meet.  Null and zero vectors are left out; all others are indexed.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(d: DataFrame) -> DataFrame:
+        wide = F.transform(vector, lambda x: x.cast("double"))
+        norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda t, x: t + x * x))
+        d = d.where(F.col(vector).isNotNull()).select(key, wide.alias("w"), norm.alias("n")).where("n > 0")
+        return d.select(key, array_to_vector(F.transform("w", lambda x: x / F.col("n"))).alias("features"))
+
+    q, c = unit(queries), unit(corpus)
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(c)
+    near = model.approxSimilarityJoin(q, c, 2.0, distCol="dist")  # no two vectors of length 1 are farther apart
+    near = near.select(F.col(f"datasetA.{key}").alias("query"), F.col(f"datasetB.{key}").alias("doc"), "dist").where("query <> doc")
+    w = W.partitionBy("query").orderBy("dist", "doc")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "doc", F.round("dist", 6).alias("dist"), "rank")
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, k: int, cfg: MatchConfig = CONFIG, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """``query, doc, rrf_score, bm25_rank, knn_rank, rank, total``: reciprocal rank fusion of two ranked lists.
 

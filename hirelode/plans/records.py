@@ -243,7 +243,7 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     skill = F.concat(F.lit("s"), "p_partkey")
     broader = part.select(skill.alias("src"), F.col("p_brand").alias("dst"), F.lit("broader").alias("kind"), F.col("p_brand").alias("title"))
     narrower = part.select(F.col("p_brand").alias("src"), skill.alias("dst"), F.lit("narrower").alias("kind"), F.col("p_name").alias("title"))
-    uses = line.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    uses = line.select("l_partkey", "l_suppkey").distinct()
     occ = F.concat(F.lit("o"), "l_suppkey")
     needed = uses.select(F.concat(F.lit("s"), "l_partkey").alias("src"), occ.alias("dst"), F.lit("needed").alias("kind"), occ.alias("title"))
     needs = uses.join(part, F.col("l_partkey") == F.col("p_partkey")).select(occ.alias("src"), skill.alias("dst"), F.lit("needs").alias("kind"), F.col("p_name").alias("title"))
@@ -254,8 +254,8 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 _EDGES = """edges as (
   select 's' || p_partkey as src, p_brand as dst, 'broader' as kind, p_brand as title from part
   union all select p_brand, 's' || p_partkey, 'narrower', p_name from part
-  union all select distinct 's' || l_partkey, 'o' || l_suppkey, 'needed', 'o' || l_suppkey from lineitem where l_returnflag = 'R'
-  union all select distinct 'o' || l_suppkey, 's' || l_partkey, 'needs', p_name from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R'
+  union all select distinct 's' || l_partkey, 'o' || l_suppkey, 'needed', 'o' || l_suppkey from lineitem
+  union all select distinct 'o' || l_suppkey, 's' || l_partkey, 'needs', p_name from lineitem join part on l_partkey = p_partkey
   union all select 'o' || s_suppkey, 't' || n_nationkey, 'tool', n_name from supplier join nation on s_nationkey = n_nationkey),
 start as (select 's' || p_partkey as src from part where p_partkey % 100 = 0)"""
 
@@ -499,13 +499,6 @@ def stream_upsert(s: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def knn_lsh(s: SparkSession, d: str) -> DataFrame:
-    """The approximate way: vectors meet only within buckets of random projections, then their cosine is exact."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = table(s, d, "embeddings").where("embedding is not null").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=6, seed=5).fit(v)
-    near = model.approxSimilarityJoin(v.where("vec_id % 100 = 0"), v, 1.4, distCol="dist")
-    near = near.select(F.col("datasetA.vec_id").alias("query"), F.col("datasetB.vec_id").alias("doc"), "dist").where("query <> doc")
-    w = W.partitionBy("query").orderBy("dist", "doc")
-    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query", "doc", F.round("dist", 6).alias("dist"), "rank")
+    """The approximate way: vectors of length 1 meet only within buckets of random projections, then their distance is exact."""
+    v = table(s, d, "embeddings")
+    return r.nearest_by_hash(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 10)

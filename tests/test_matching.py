@@ -38,7 +38,8 @@ def test_nearest_is_exact_and_guarded(spark):
 def test_bm25_edges(spark):
     docs = spark.createDataFrame([(1, "Java java SQL", None), (2, None, "x"), (3, "", "y"), (4, "sql " * 3000, "z")], "id bigint, t string, doc string")
     q = spark.createDataFrame([("a", "java SQL"), ("b", None), ("c", "")], "k string, txt string")
-    got = retrieval.search(docs, "id", q, "k", "txt", {"t": 1.0, "missing": 9.0}, 0.2, 10).collect()
+    index = retrieval.built_index(docs, "id", ["t"])
+    got = retrieval.search(index, retrieval.query_terms(q, "k", "txt"), {"t": 1.0, "missing": 9.0}, 0.2, 10).collect()
     assert [(r.query, r.doc) for r in sorted(got, key=lambda r: r.rank)] == [("a", 1), ("a", 4)]
 
 
@@ -90,15 +91,59 @@ def test_diversity_among_all_records(spark):
     assert [(r.g, r.k, r.place) for r in got] == [("g", 1, 1), ("g", 3000, 2), ("g", 2, 3), ("g", 3, 4), ("h", 7, 1), ("h", 9, 2), ("h", 8, 3)]
 
 
+def _file(spark, path, rows):
+    spark.createDataFrame(rows, "url string, digest string, at int").coalesce(1).write.mode("append").parquet(str(path))
+
+
 def test_stream(spark, tmp_path):
-    for i, rows in enumerate(([("u1", "h1", 1), ("u2", "h2", 1)], [("u1", "h9", 2), (None, "x", 2), ("u1", "h9", 2)])):
-        spark.createDataFrame(rows, "url string, digest string, at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for rows in ([("u1", "h1", 1), ("u2", "h2", 1)], [("u1", "h9", 2), (None, "x", 2), ("u1", "h9", 2)]):
+        _file(spark, tmp_path / "in", rows)
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     got = stream_upsert(spark, str(tmp_path / "in"), schema, "url", "digest", ["at"], files_per_batch=1)
     assert {(r.url, r.digest) for r in got.collect()} == {("u1", "h9"), ("u2", "h2")}
 
 
+def test_stream_is_killed_and_resumed(spark, tmp_path, monkeypatch):
+    """Cut short between the data and the manifest, taken up again, then again with new files: nothing lost, nothing twice."""
+    from hirelode.streaming import upsert
+
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    _file(spark, source, [(f"u{i}", "h1", 1) for i in range(40)])
+    schema = spark.read.parquet(str(source)).schema
+    run = lambda: stream_upsert(spark, str(source), schema, "url", "digest", ["at"], files_per_batch=1, path=path, buckets=8)
+    whole = upsert.KeyedTable._commit
+    monkeypatch.setattr(upsert.KeyedTable, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    try:
+        run()
+        raise AssertionError("not killed")
+    except Exception as e:
+        assert "killed" in str(e)
+    table = upsert.KeyedTable(spark, f"{path}/table", "url", schema, 8)
+    assert table.committed() == [] and table.read().count() == 0
+    monkeypatch.setattr(upsert.KeyedTable, "_commit", whole)
+    assert {(r.url, r.digest, r.seen_batch) for r in run().collect()} == {(f"u{i}", "h1", 0) for i in range(40)}
+    before = table.manifest()
+    _file(spark, source, [("u3", "h2", 2), (None, "x", 2)])
+    got = {r.url: (r.digest, r.seen_batch) for r in run().collect()}
+    assert len(got) == 40 and got["u3"] == ("h2", 1) and got["u4"] == ("h1", 0)
+    after = table.manifest()
+    assert sum(after[b] != before[b] for b in before) == 1  # only the touched bucket was rewritten
+    assert {(r.url, r.digest, r.seen_batch) for r in run().collect()} == {(u, *v) for u, v in got.items()}  # no new file, no change
+    state = upsert.KeyedTable(spark, f"{path}/table", "url", run().schema, 8)
+    state.write(1, spark.createDataFrame([("u3", "other")], "url string, digest string"), "digest", "seen_batch")  # a replayed batch
+    assert {r.url: r.digest for r in run().collect()}["u3"] == "h2"
+
+
+def test_hash_index_recall(spark, data):
+    """Against the exact search."""
+    v = spark.read.parquet(f"{data}/../sf0.01/embeddings.parquet")
+    every = v.selectExpr("vec_id as id", "embedding as vec", "0 as tag")
+    exact = {(r.query, r.doc) for r in retrieval.nearest(every.where("id % 25 = 0"), every, 10).collect()}
+    found = {(r.query, r.doc) for r in retrieval.nearest_by_hash(v.where("vec_id % 25 = 0"), v, "vec_id", "embedding", 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_core_plans_have_no_python(spark, data):
-    for name in ("bm25_topk", "rubric_scores", "browse_search"):
+    for name in ("bm25_topk", "same_city_partition", "browse_search"):
         plan = plans.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "MapInPandas" not in plan and "CartesianProduct" not in plan, name
