@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from .config import CONFIG, MatchConfig
 from .functions import geo, records, salary
+from .functions.columns import evaluated
 from .functions.dialect import SPARK, column
 from .operators import encoding, ingest, matching, retrieval, scoring
 from .sources.tables import cut
@@ -68,7 +69,7 @@ def match(cvs: DataFrame, jobs: DataFrame, cities: DataFrame, encoder: encoding.
     and those outside the categories it suggests, unless they bring fewer hits
     than ``cfg.relax_below``.  A profile without skills gets no row.
     """
-    from .plans.matching import _cv_cols, _job_cols
+    from .plans.matching import _cv_cols, job_columns
 
     encoder = encoder or encoding.HashingEncoder()
     fields = {f: b for f, b in cfg.boosts.items() if f in jobs.columns}
@@ -105,7 +106,7 @@ def match(cvs: DataFrame, jobs: DataFrame, cities: DataFrame, encoder: encoding.
     cv = cvs.withColumnRenamed("cv_id", "query")
     cv_side = cv.select("query", *[column(x).alias(n) for n, x in _cv_cols(SPARK).items()]).join(matching.city_sets(cv, "query", "cv_location", cities, "ref_id", "city").withColumnRenamed("cities", "cv_cities"), "query")
     found = jobs.withColumnRenamed("job_id", "doc").join(hits.select("doc").distinct(), "doc", "left_semi")
-    job_side = found.select("doc", *[column(x).alias(n) for n, x in _job_cols(SPARK).items()]).join(matching.city_sets(found, "doc", "job_location", cities, "ref_id", "city").withColumnRenamed("cities", "job_cities"), "doc")
+    job_side = job_columns(found, "doc").join(matching.city_sets(found, "doc", "job_location", cities, "ref_id", "city").withColumnRenamed("cities", "job_cities"), "doc")
     pairs = cut(hits.join(cv_side, "query").join(job_side, "doc"))
     total = score_pairs(pairs).select("query", "doc", "total")
     same_city = F.coalesce(F.arrays_overlap("cv_cities", "job_cities"), F.lit(False))
@@ -128,7 +129,8 @@ def clean(raw: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
             d = d.withColumn(c, F.lit(None).cast("double" if c in numbers else "boolean" if c == "has_commission" else "string"))
     d = d.select("*", *[column(records.section(SPARK, "job_details", h)).alias(n) for n, h in records.SECTIONS.items()])
     d = d.withColumns({"experience": column(records.overview_experience(SPARK, "overview")), "requirements_tags": column(records.requirement_tags(SPARK, "overview")), "specializations": column(records.specialisations(SPARK, "overview"))})
-    stated = salary.stated_millions(SPARK, "job_salary", "title")
+    d = evaluated(d, {"_in_pay": column(salary.stated_millions(SPARK, "job_salary")), "_in_title": column(salary.stated_millions(SPARK, "title"))})
+    stated = "(CASE WHEN size(_in_pay) > 0 THEN _in_pay ELSE _in_title END)"
     fixed = {n: column(salary.repaired(SPARK, stated, "salary_min", "salary_max", upper)) for n, upper in (("salary_min", False), ("salary_max", True))}
     fixed |= {
         "job_location": column(geo.company_city(SPARK, "company_address", "job_location")),
@@ -136,7 +138,7 @@ def clean(raw: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
         "education_level": column(records.education(SPARK, "education_level")),
         "has_commission": column(records.commission(SPARK, "has_commission", "job_benefits", "salary_note", "job_description")),
     }
-    return d.withColumns(fixed)
+    return d.withColumns(fixed).drop("_in_pay", "_in_title")
 
 
 #: Text fields of an index document, and its flags.

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import CONFIG
 from ..functions import geo, records, salary
+from ..functions.columns import evaluated
 from ..functions.dialect import CHECK, SPARK, Spark, column, fold
 from ..operators import matching as m
 from ..operators import retrieval as r
@@ -262,8 +263,9 @@ def _cv_cols(q: Spark) -> dict[str, str]:
     return {"cv_skills": low, "cv_wanted": "suggested_categories", "cv_experience": "experience", "cv_education": "education", "cv_salary": "salary"}
 
 
-def _job_cols(q: Spark) -> dict[str, str]:
-    kind = salary.kind(q, "job_salary")
+def _job_cols(q: Spark, kind: str | None = None) -> dict[str, str]:
+    """Of an advert; ``kind`` names a column that holds the kind of its pay."""
+    kind = kind or salary.kind(q, "job_salary")
     low = q.distinct(q.map(records.listed(q, "technical_skills"), "p", "lower(p)"))
     return {
         "job_skills": low,
@@ -280,6 +282,12 @@ CV_SIDE = {k: f"cv_{k}" for k in ("skills", "wanted", "experience", "education",
 JOB_SIDE = {k: f"job_{k}" for k in ("skills", "category", "experience", "education", "cities")} | {k: k for k in ("pay_kind", "pay_min", "pay_max")}
 
 
+def job_columns(jobs: DataFrame, key: str) -> DataFrame:
+    """``key`` and the columns of :func:`_job_cols`, the kind of pay read once."""
+    d = evaluated(jobs, {"_kind": column(salary.kind(SPARK, "job_salary"))})
+    return d.select(key, *[column(x).alias(n) for n, x in _job_cols(SPARK, "_kind").items()])
+
+
 def _with_columns(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     ref = table(s, d, "city_ref")
     hits = cut(hits)
@@ -287,7 +295,7 @@ def _with_columns(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     cv = cv.join(m.city_sets(_cvs(s, d).withColumnRenamed("cv_id", "query"), "query", "cv_location", ref, "ref_id", "city").withColumnRenamed("cities", "cv_cities"), "query")
     # only adverts that were hit are parsed
     found = _jobs(s, d).withColumnRenamed("job_id", "doc").join(hits.select("doc").distinct(), "doc", "left_semi")
-    job = found.select("doc", *[column(x).alias(n) for n, x in _job_cols(SPARK).items()])
+    job = job_columns(found, "doc")
     job = job.join(m.city_sets(found, "doc", "job_location", ref, "ref_id", "city").withColumnRenamed("cities", "job_cities"), "doc")
     return hits.join(cv, "query").join(job, "doc")
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from ..config import CONFIG
 from ..functions import geo, salary
 from ..functions import records as rec
+from ..functions.columns import evaluated
 from ..functions.dialect import CHECK, SPARK, Spark, column
 from ..operators import diversity, expansion, ingest, reports
 from ..operators import retrieval as r
@@ -23,26 +24,35 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def _scalar(name: str, source: str, key: str, cols, where: str = "") -> None:
-    """A query that is one projection: ``cols`` gives the columns' SQL for a dialect."""
+def _scalar(name: str, source: str, key: str, cols, first=None) -> None:
+    """A query that is one projection: ``cols`` gives the columns' SQL for a dialect.
+
+    What several columns need is in ``first``, which is evaluated once per row.
+    """
 
     def run(s: SparkSession, d: str) -> DataFrame:
         df = table(s, d, source)
-        df = df.where(where) if where else df
+        if first is not None:
+            df = evaluated(df, {n: column(x) for n, x in first(SPARK).items()})
         return df.select(*key.split(", "), *[column(x).alias(n) for n, x in cols(SPARK).items()])
 
     run.__name__ = name
     QUERIES[name] = run
-    ORACLE[name] = f"select {key}, " + ", ".join(f"{x} as {n}" for n, x in cols(CHECK).items()) + f" from {source}" + (f" where {where}" if where else "")
+    of = source if first is None else f"(select *, {', '.join(f'{x} as {n}' for n, x in first(CHECK).items())} from {source})"
+    ORACLE[name] = f"select {key}, " + ", ".join(f"{x} as {n}" for n, x in cols(CHECK).items()) + f" from {of}"
 
 
-def _pay(q: Spark) -> dict[str, str]:
-    k = salary.kind(q, "job_salary")
+def _pay(q: Spark, k: str | None = None) -> dict[str, str]:
+    k = k or salary.kind(q, "job_salary")
     return {"kind": k, "pay_min": salary.bound(q, "job_salary", k, False), "pay_max": salary.bound(q, "job_salary", k, True)}
 
 
+def _stated(q: Spark) -> dict[str, str]:
+    return {"_in_pay": salary.stated_millions(q, "job_salary"), "_in_title": salary.stated_millions(q, "title")}
+
+
 def _repair(q: Spark) -> dict[str, str]:
-    stated = salary.stated_millions(q, "job_salary", "title")
+    stated = f"(CASE WHEN {q.size('_in_pay')} > 0 THEN _in_pay ELSE _in_title END)"
     return {"pay_min": salary.repaired(q, stated, "salary_min", "salary_max", False), "pay_max": salary.repaired(q, stated, "salary_min", "salary_max", True)}
 
 
@@ -50,8 +60,8 @@ def rec_day(q: Spark) -> str:
     return f"nullif({q.ext('coalesce(deadline, ' + q.lit('') + ')', '([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})')}, '')"
 
 
-_scalar("salary_normalize", "jobs", "job_id", _pay)
-_scalar("salary_repair", "jobs", "job_id", _repair)
+_scalar("salary_normalize", "jobs", "job_id", lambda q: _pay(q, "_kind"), lambda q: {"_kind": salary.kind(q, "job_salary")})
+_scalar("salary_repair", "jobs", "job_id", _repair, _stated)
 _scalar("simplify_address", "geocode_cache", "address_id", lambda q: {"short": geo.simplified(q, "company_address"), "branch": geo.first_branch(q, "company_address")})
 _scalar("extract_city", "jobs", "job_id", lambda q: {"city": geo.city(q, "company_address", "job_location")})
 _scalar("gender_repair", "jobs", "job_id", lambda q: {"gender": rec.gender(q, "title", "gender_requirement", "job_requirements")})

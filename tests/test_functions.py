@@ -75,3 +75,60 @@ def test_fields(spark):
 @pytest.mark.parametrize("km, want", [(0, 10.0), (10, 7.2), (30, 3.7), (56, 1.5), (100, 1.5)])
 def test_distance_score(spark, km, want):
     assert one(spark, geo.distance_score("x", 30, 1.5), x=float(km)) == want
+
+
+def test_city_in_any_case(spark):
+    city = lambda a, b="": one(spark, geo.city(SPARK, "a", "b"), a=a, b=b)
+    assert city("12 LÊ LỢI, TP. HỒ CHÍ MINH") == "HỒ CHÍ MINH" and city("khu 3, đà nẵng") == "đà nẵng" and city("x", "thành phố hà nội") == "hà nội"
+    assert city("KCN Bình Dương") == "Bình Dương" and city(None, " Huế ") == "Huế"
+
+
+def test_city_of_company(spark):
+    city = lambda a, b=None: one(spark, geo.company_city(SPARK, "a", "b"), a=a, b=b)
+    assert city("Tầng 3, TP.HCM", "Hà Nội") == "Hồ Chí Minh" and city("Da Nang, Ha Noi") == "Hà Nội" and city("hà nội", "Huế") == "Huế" and city(None, "Huế") == "Huế"
+
+
+def test_pay_is_repaired_by_the_title(spark):
+    from hirelode import api
+
+    raw = spark.createDataFrame([("u1", "Kế toán 12 - 15 triệu", None, "=== MÔ TẢ CÔNG VIỆC ===\nLàm sổ", None), ("u2", "Kế toán 30tr", None, None, None)], "url string, title string, overview string, job_details string, company_address string")
+    parsed = spark.createDataFrame([("u1", "Thỏa thuận", 1.2e6, None), ("u2", "10 triệu", 1e6, 2e6)], "url string, job_salary string, salary_min double, salary_max double")
+    got = {r.url: (r.salary_min, r.salary_max, r.job_description) for r in api.clean(raw, parsed).collect()}
+    assert got == {"u1": (12e6, 15e6, "Làm sổ"), "u2": (10e6, 10e6, "")}
+    assert api.clean(raw).count() == 2
+
+
+def _page(spark, text, least=50):
+    return one(spark, records.blocked_page(SPARK, "x", least), x=text)
+
+
+def test_blocked_pages(spark):
+    body = "x" * 100
+    assert _page(spark, body) and _page(spark, None) and _page(spark, f'<div class="job-detail__bodyx">{body}</div>') and _page(spark, f"<p class='job-title'>{body}</p>")
+    for tag, name in records.PAGE_MARKERS:
+        assert not _page(spark, f"<{tag} id=1 class='a {name} b'>{body}</{tag}>")
+    assert _page(spark, '<h1 class="job-title">' + "x" * 4900, 5000) and not _page(spark, '<h1 class="job-title">' + "x" * 5000, 5000)
+
+
+def test_quality_gate(spark):
+    details = "=== MÔ TẢ CÔNG VIỆC ===\n" + "m" * 30 + "\n=== YÊU CẦU ỨNG VIÊN ===\n" + "y" * 10
+    gate = lambda **k: one(spark, records.quality_gate(SPARK, 50), **({"title": "t", "overview": "Kinh nghiệm: 2 năm\n" + "o" * 40, "job_details": details} | k))
+    assert gate() is True
+    for bad in ({"title": " "}, {"overview": "Kinh nghiệm: 2 năm"}, {"overview": "o" * 60}, {"job_details": details.replace("m" * 30, "m" * 29)}, {"job_details": details.replace("y" * 10, "y" * 9)}, {"job_details": None}):
+        assert gate(**bad) is False
+
+
+def test_overview_parts(spark):
+    text = "Kinh nghiệm: 2 năm\nYêu cầu:\n Java \n\nSQL\nQuyền lợi:\nLương\nChuyên môn:\nBackend\nWeb\n=== X"
+    assert one(spark, records.requirement_tags(SPARK, "x"), x=text) == "Backend, Web" and one(spark, records.specialisations(SPARK, "x"), x=text) == "Java, SQL"
+    assert one(spark, records.requirement_tags(SPARK, "x"), x=None) == ""
+
+
+def test_listing_addresses(spark):
+    from pyspark.sql import functions as F
+
+    url = lambda c: spark.range(1).select(c.alias("u")).collect()[0].u
+    b, n = F.lit("https://x/viec"), F.lit
+    assert url(records.paged_url(b, n(1))) == "https://x/viec" and url(records.paged_url(b, n(3))) == "https://x/viec?page=3" and url(records.paged_url(n("https://x?a=1"), n(2))) == "https://x?a=1&page=2"
+    assert url(records.filtered_url(b, n(3), n(2), family=n("r1"))) == "https://x/viec?exp=3&type_keyword=1&sba=1&saturday_status=0&category_family=r1&page=2"
+    assert url(records.filtered_url(b, n(8), n(1), newest=True)) == "https://x/viec?exp=8&sort=up_top&type_keyword=1&sba=1&saturday_status=0"
