@@ -498,13 +498,14 @@ def diverse_select(s: SparkSession, d: str) -> DataFrame:
     return diversity.diverse(j, "category", "job_id", "words", 20)
 
 
-@_register()
+@_register(_LAST.replace("select url, content_hash, loaded_at", "select url, content_hash").replace(" and trim(url) <> ''", ""))
 def stream_upsert(s: SparkSession, d: str) -> DataFrame:
+    """The records of a crawl as a stream of files.  With several files a later one wins, whatever ``loaded_at`` says."""
     schema = table(s, d, "raw_jobs").schema
     source = f"{d}/raw_jobs.parquet"
     if os.path.isfile(source):  # a stream reads folders; one file is taken through a pattern
         source = f"{d}/raw_jobs.p[a]rquet"
-    return run_stream(s, source, schema, "url", "content_hash", ["loaded_at"])
+    return run_stream(s, source, schema, "url", "content_hash", ["loaded_at"]).select("url", "content_hash")
 
 
 @_register()
