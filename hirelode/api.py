@@ -91,18 +91,23 @@ def match(cvs: DataFrame, jobs: DataFrame, cities: DataFrame, encoder: encoding.
     c_vec = encoding.encoded(tagged.withColumn("_t", body), "job_id", "_t", encoder).join(tagged.select(F.col("job_id").alias("id"), F.col("tag").alias("_tag")), "id").select("id", "vec", F.col("_tag").alias("tag"))
     c_vec = cut(c_vec)
     numbers = cut(q_vec.select("id").distinct().select("id", F.xxhash64("id").alias("no")))
-    lists = []
-    for wanted, msm in ((True, cfg.msm), (False, cfg.msm_relaxed)):
+
+    def fused(wanted: bool, msm: float, only: DataFrame | None = None) -> DataFrame:
         fits = ~F.col("t.gone") & column(records.allowed_gender(SPARK, "c.gender", "t.gender_requirement"))
         if wanted:
             named = F.filter("c.suggested_categories", lambda x: x.isNotNull())
             fits = fits & (F.col("c.suggested_categories").isNull() | (F.size(named) == 0) | F.coalesce(F.array_contains(named, F.col("t.category")), F.lit(False)))
-        allow = cut(asks.alias("c").join(F.broadcast(tags).alias("t"), fits, "left").groupBy(F.col("c.cv_id").alias("query")).agg(F.collect_set("t.tag").alias("allow")))
+        allow = asks.alias("c").join(F.broadcast(tags).alias("t"), fits, "left").groupBy(F.col("c.cv_id").alias("query")).agg(F.collect_set("t.tag").alias("allow"))
+        allow = cut(allow if only is None else allow.join(only, "query", "left_semi"))
         lexical = retrieval.search(index, terms.join(allow, "query"), fields, msm, cfg.size, cfg)
         q = q_vec.drop("tag").join(numbers, "id").join(allow.withColumnRenamed("query", "id"), "id").select(F.col("no").alias("id"), "vec", F.col("allow").alias("tag"))
         near = retrieval.nearest(q, c_vec, cfg.size, same_table=False, allow=True).withColumnRenamed("query", "no").join(numbers.withColumnRenamed("id", "query"), "no")
-        lists.append(cut(retrieval.fuse(lexical, near.select("query", "doc", "score", "rank"), cfg.size, cfg).select("query", "doc", "rrf_score", "rank")))
-    hits = cut(retrieval.relaxed(*lists, cvs, "cv_id", cfg).select("query", "doc", "rank"))
+        return retrieval.fuse(lexical, near.select("query", "doc", "score", "rank"), cfg.size, cfg).select("query", "doc", "rank")
+
+    hits = cut(fused(True, cfg.msm))
+    few = cut(retrieval.short_lists(hits, cvs, "cv_id", cfg))
+    if not few.isEmpty():
+        hits = cut(retrieval.relaxed(hits, fused(False, cfg.msm_relaxed, few), few).drop("is_relaxed"))
     cv = cvs.withColumnRenamed("cv_id", "query")
     cv_side = cv.select("query", *[column(x).alias(n) for n, x in _cv_cols(SPARK).items()]).join(matching.city_sets(cv, "query", "cv_location", cities, "ref_id", "city").withColumnRenamed("cities", "cv_cities"), "query")
     found = jobs.withColumnRenamed("job_id", "doc").join(hits.select("doc").distinct(), "doc", "left_semi")

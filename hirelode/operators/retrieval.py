@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import CONFIG, MatchConfig
-from ..sources.tables import written
+from ..sources.tables import cut, written
 
+#: Queries with up to this many pairs of field and term are sent to the postings.
+SENT = 500_000
 TERM = r"([\p{L}\p{N}]+)"
 
 
@@ -70,6 +72,24 @@ def query_terms(queries: DataFrame, key: str, text: str, cfg: MatchConfig = CONF
     return queries.select(F.col(key).alias("query"), terms.alias("terms")).select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
+def _hits(index: Index, terms: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """``query, n_terms, doc, field, part``: what each term of a query adds to a document's score in a field."""
+    # all a term brings along is joined to it first, so that the postings, which are large but lie compact on disk, take part in
+    # one join and stay where they are as long as the queries are few; else both are shuffled, and AQE splits a term of many postings
+    asked = cut(terms.join(index.frequencies, "term").join(F.broadcast(index.stats), "field"))  # stats: a row a field
+    side = F.broadcast(asked) if asked.count() <= SENT else asked.hint("merge")
+    hits = index.postings.join(side, ["field", "term"])
+    if "allow" in terms.columns:
+        hits = hits.where(F.col("allow").isNull() | F.array_contains("allow", F.col("tag")))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
+    return hits.select("query", "n_terms", "doc", "field", (idf * F.col("tf") / norm).alias("part"))
+
+
+def _enough(msm: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(msm) * F.col("n_terms")))
+
+
 def bm25(index: Index, terms: DataFrame, msm: float, cfg: MatchConfig = CONFIG) -> DataFrame:
     """``query, doc, field, score, matched``: BM25 per field of the documents with enough of the query's terms.
 
@@ -77,22 +97,22 @@ def bm25(index: Index, terms: DataFrame, msm: float, cfg: MatchConfig = CONFIG)
     With a column ``allow`` (an array of tags, null for all) in ``terms`` only
     documents with these tags are scored.
     """
-    # all a term brings along is joined to it first, so that the postings take part in one join: with a small side that is
-    # sent around as long as its size allows, else by shuffle, where a term of many postings is a skewed partition that AQE splits
-    asked = terms.join(index.frequencies, "term").join(F.broadcast(index.stats), "field")  # stats: a row a field
-    hits = index.postings.join(asked, ["field", "term"])
-    if "allow" in terms.columns:
-        hits = hits.where(F.col("allow").isNull() | F.array_contains("allow", F.col("tag"))).drop("allow")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
-    out = hits.groupBy("query", "doc", "field").agg(F.sum(idf * F.col("tf") / norm).alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
-    return out.where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.lit(msm) * F.col("n_terms")))).select("query", "doc", "field", "score", "matched")
+    out = _hits(index, terms, cfg).groupBy("query", "doc", "field").agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
+    return out.where(F.col("matched") >= _enough(msm)).select("query", "doc", "field", "score", "matched")
 
 
-def best_fields(per_field: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
-    """``query, doc, score``: the greatest boosted score over the fields."""
-    boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(b))) for f, b in boosts.items()])
-    return per_field.withColumn("boosted", boost * F.col("score")).where("boosted is not null").groupBy("query", "doc").agg(F.max("boosted").alias("score"))
+def best_fields(index: Index, terms: DataFrame, boosts: Mapping[str, float], msm: float, cfg: MatchConfig = CONFIG) -> DataFrame:
+    """``query, doc, score``: the greatest boosted score over the fields that have enough of the query's terms; see :func:`bm25`.
+
+    The fields are columns of one aggregation, so that a pair of query and
+    document is shuffled once, not once a field.
+    """
+    wanted = index._replace(postings=index.postings.where(F.col("field").isin(list(boosts))))
+    own = lambda f: F.when(F.col("field") == f, F.col("part"))
+    sums = [x for i, f in enumerate(boosts) for x in (F.sum(own(f)).alias(f"s{i}"), F.count(own(f)).cast("int").alias(f"m{i}"))]
+    per = _hits(wanted, terms, cfg).groupBy("query", "n_terms", "doc").agg(*sums)
+    each = [F.when(F.col(f"m{i}") >= _enough(msm), F.lit(float(b)) * F.col(f"s{i}")) for i, b in enumerate(boosts.values())]
+    return per.select("query", "doc", (F.greatest(*each) if len(each) > 1 else each[0]).alias("score")).where("score is not null")
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query", item: str = "doc", places: int = 6) -> DataFrame:
@@ -104,8 +124,7 @@ def top_k(scores: DataFrame, k: int, by: str = "query", item: str = "doc", place
 
 def search(index: Index, terms: DataFrame, boosts: Mapping[str, float], msm: float, k: int, cfg: MatchConfig = CONFIG) -> DataFrame:
     """``query, doc, score, rank`` by the best boosted field, of the fields that the index has."""
-    wanted = index._replace(postings=index.postings.where(F.col("field").isin(list(boosts))))
-    return top_k(best_fields(bm25(wanted, terms, msm, cfg), boosts), k)
+    return top_k(best_fields(index, terms, boosts, msm, cfg), k)
 
 
 def _blocks(vectors: DataFrame, size: int, names: tuple[str, str, str]) -> DataFrame:
@@ -196,8 +215,12 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int, cfg: MatchConfig = CONFI
     return fused.withColumns({"total": F.count("*").over(w), "rank": F.row_number().over(order)}).where(F.col("rank") <= k)
 
 
-def relaxed(strict: DataFrame, loose: DataFrame, queries: DataFrame, key: str, cfg: MatchConfig = CONFIG) -> DataFrame:
-    """The strict list of each query that has enough hits, else the loose one; ``is_relaxed`` tells which."""
-    counts = queries.select(F.col(key).alias("query")).join(strict.groupBy("query").agg(F.count("*").alias("hits")), "query", "left")
-    few = counts.where(F.coalesce("hits", F.lit(0)) < cfg.relax_below).select("query")
+def short_lists(strict: DataFrame, queries: DataFrame, key: str, cfg: MatchConfig = CONFIG) -> DataFrame:
+    """``query``: those with fewer hits than ``cfg.relax_below``, none included."""
+    counts = queries.select(F.col(key).alias("query")).distinct().join(strict.groupBy("query").agg(F.count("*").alias("hits")), "query", "left")
+    return counts.where(F.coalesce("hits", F.lit(0)) < cfg.relax_below).select("query")
+
+
+def relaxed(strict: DataFrame, loose: DataFrame, few: DataFrame) -> DataFrame:
+    """The strict list of each query, of those in ``few`` the loose one instead; ``is_relaxed`` tells which."""
     return strict.join(few, "query", "left_anti").withColumn("is_relaxed", F.lit(False)).unionByName(loose.join(few, "query", "left_semi").withColumn("is_relaxed", F.lit(True)))

@@ -214,11 +214,18 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
 
 def hybrid_relaxed(s: SparkSession, d: str) -> DataFrame:
     """Of all profiles: both lists within the categories a profile suggests; where they bring few hits, more loosely and without that filter."""
-    lists = []
-    for wanted, msm in ((True, CONFIG.msm), (False, CONFIG.msm_relaxed)):
-        allow = cut(_allowed(s, d, wanted, gender=True))
-        lists.append(cut(r.fuse(_lexical(s, d, msm, CONFIG.size, allow, full=True), _vector_list(s, d, CONFIG.size, allow), CONFIG.size).select("query", "doc", "rrf_score", "rank")))
-    return r.relaxed(*lists, _cvs(s, d), "cv_id")
+    strict = cut(_fused(s, d, CONFIG.msm, _allowed(s, d, wanted=True, gender=True)))
+    few = cut(r.short_lists(strict, _cvs(s, d), "cv_id"))
+    if few.isEmpty():
+        return strict.withColumn("is_relaxed", F.lit(False))
+    loose = _fused(s, d, CONFIG.msm_relaxed, _allowed(s, d, wanted=False, gender=True).join(few, "query", "left_semi"))
+    return r.relaxed(strict, loose, few)
+
+
+def _fused(s: SparkSession, d: str, msm: float, allow: DataFrame) -> DataFrame:
+    """Both lists of the profiles in ``allow``, fused."""
+    allow = cut(allow)
+    return r.fuse(_lexical(s, d, msm, CONFIG.size, allow, full=True), _vector_list(s, d, CONFIG.size, allow), CONFIG.size).select("query", "doc", "rrf_score", "rank")
 
 
 # ------------------------------------------------------------------ places

@@ -47,7 +47,8 @@ def test_relaxed_keeps_profiles_without_hits(spark):
     cv = spark.createDataFrame([("a",), ("b",)], "k string")
     strict = spark.createDataFrame([("a", i, i) for i in range(CONFIG.relax_below)], "query string, doc bigint, rank int")
     loose = spark.createDataFrame([("a", 99, 1), ("b", 98, 1)], "query string, doc bigint, rank int")
-    got = retrieval.relaxed(strict, loose, cv, "k").collect()
+    few = retrieval.short_lists(strict, cv, "k")
+    got = retrieval.relaxed(strict, loose, few).collect()
     assert {(r.query, r.is_relaxed) for r in got} == {("a", False), ("b", True)}
 
 
