@@ -105,8 +105,8 @@ def _compare_sql(q: Spark) -> str:
     return f"round({salary.compare(q, 'wk', 'wlo', 'whi', 'kind', 'pay_min', 'pay_max')}, 6)"
 
 
-def _wish_cols(q: Spark) -> dict[str, str]:
-    k = salary.kind(q, "wish")
+def _wish_cols(q: Spark, k: str | None = None) -> dict[str, str]:
+    k = k or salary.kind(q, "wish")
     return {"wk": k, "wlo": salary.bound(q, "wish", k, False), "whi": salary.bound(q, "wish", k, True)}
 
 
@@ -115,7 +115,8 @@ def _wish_cols(q: Spark) -> dict[str, str]:
     f"o as (select job_id, {', '.join(f'{x} as {n}' for n, x in _pay(CHECK).items())} from jobs) select job_id, wish, {_compare_sql(CHECK)} as score from o cross join w"
 )
 def salary_compare(s: SparkSession, d: str) -> DataFrame:
-    wishes = s.createDataFrame([(w,) for w in WISHES], "wish string").select("wish", *[column(x).alias(n) for n, x in _wish_cols(SPARK).items()])
+    wishes = evaluated(s.createDataFrame([(w,) for w in WISHES], "wish string"), {"_kind": column(salary.kind(SPARK, "wish"))})
+    wishes = wishes.select("wish", *[column(x).alias(n) for n, x in _wish_cols(SPARK, "_kind").items()])
     offers = QUERIES["salary_normalize"](s, d)
     return offers.crossJoin(F.broadcast(wishes)).select("job_id", "wish", column(_compare_sql(SPARK)).alias("score"))  # three wishes
 
